@@ -35,7 +35,7 @@ from pagewright.llm.arrays import Runs, Texts, steps, windows
 from pagewright.llm.tables import parts, text_bytes
 
 ANCHOR = 5
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 INDEX_BITS = np.uint64(28)
 LOW = (np.uint64(1) << INDEX_BITS) - np.uint64(1)
 ENTRY = np.dtype([("anchor", "<u8"), ("phrase", "<u8"), ("doc", "<i8"), ("number", "<u4")])
@@ -182,6 +182,8 @@ def _windows(flagged: DataFrame, window: int) -> DataFrame:
             ids, flags = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("flags")
             for t in steps(b.column("text")):
                 p = Phrases(t, window)
+                if not any(flags[t.first + i].is_valid for i in range(t.count)):
+                    continue
                 found = [_positions(flags[t.first + i].values.to_numpy(zero_copy_only=False) if flags[t.first + i].is_valid else None, p, i, True) for i in range(t.count)]
                 n = np.concatenate([np.zeros(0, np.int64), *found])
                 size = p.end[n] - p.begin[n] + 1
@@ -189,7 +191,8 @@ def _windows(flagged: DataFrame, window: int) -> DataFrame:
                 doc = np.repeat(p.doc[n], size)
                 yield pa.RecordBatch.from_arrays([pa.array(p.runs.of(at, at + window).view(np.int64)), pa.array(ids[t.first + doc]), pa.array(at - t.word_at[:-1][doc])], names=["hash", "doc_id", "at"])
 
-    return flagged.where(F.exists("flags", lambda f: f % 2 == 1)).select("doc_id", "text", "flags").mapInArrow(run, "hash long, doc_id long, at long")
+    # no filter and no narrower selection here: so the texts are dealt out once for this and for the last join
+    return flagged.mapInArrow(run, "hash long, doc_id long, at long")
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, joined: bool = False) -> DataFrame:
