@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewright.llm import chat, mixing, quality_rules as rules
+from pagewright.llm.byte_bpe import bpe_decode, bpe_encode
 from pagewright.llm.substring_dedup import substring_dedup
 from pagewright.llm.tables import table
+from pagewright.llm.token_counts import token_counts
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file; it is installed on every machine and never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +30,13 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    coded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep=("doc_id",)), path)
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
@@ -36,13 +52,17 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"), keep=("doc_id",))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), joined=True)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op5_mix_sources, op8_chat_format, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op5_mix_sources, op6_byte_bpe, op8_chat_format, op9_token_counts, op10_substring_dedup)}
 
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
