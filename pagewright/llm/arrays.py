@@ -129,12 +129,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def steps(column: pa.Array, step: int = STEP) -> Iterator[Texts]:
-    """The texts of a column in order, about ``step`` bytes at a time; a longer text comes alone."""
+def steps(column: pa.Array, step: int = STEP, most: int = 4096) -> Iterator[Texts]:
+    """The texts of a column in order, about ``step`` bytes and at most ``most`` texts at a time; a longer text comes alone."""
     data, at = buffers(column)
     i, n = 0, len(at) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + step, "right")) - 1)
+        j = max(i + 1, min(i + most, int(np.searchsorted(at, at[i] + step, "right")) - 1))
         yield Texts(i, data[at[i] : at[j]], at[i : j + 1] - at[i])
         i = j
 
@@ -149,3 +149,12 @@ def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 def characters(t: Texts) -> np.ndarray:
     """Code points of each text."""
     return sums((t.data & 0xC0) != 0x80, t.offsets)
+
+
+def shingles(t: Texts, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``size`` words, and the text of each; a text with fewer words, but some, is one run."""
+    t.words()
+    runs = Runs(t.word_hashes())
+    at, doc = windows(t.word_at, t.n_words, size)
+    short = np.flatnonzero((t.n_words > 0) & (t.n_words < size))
+    return np.concatenate([runs.of(at, at + size), runs.of(t.word_at[:-1][short], t.word_at[1:][short])]), np.concatenate([doc, short])

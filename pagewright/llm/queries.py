@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagewright.llm import chat, mixing, quality_rules as rules
+from pagewright.llm import chat, fingerprints, mixing, quality_rules as rules
 from pagewright.llm.byte_bpe import bpe_decode, bpe_encode
 from pagewright.llm.substring_dedup import substring_dedup
 from pagewright.llm.tables import table
@@ -25,6 +25,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(docs, rules.order(docs)).drop("text")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.draws(mixing.sizes(table(spark, sf_dir, "documents")))
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -62,7 +66,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op5_mix_sources, op6_byte_bpe, op8_chat_format, op9_token_counts, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_fingerprints, op5_mix_sources, op6_byte_bpe, op8_chat_format, op9_token_counts, op10_substring_dedup)}
 
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

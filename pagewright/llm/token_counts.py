@@ -74,7 +74,7 @@ def frequent(docs: DataFrame, path: str, text: str = "text", rows: int = SAMPLE,
         top = [p for p, _ in found.most_common(SLOTS // 4)]
         if top:
             column = pa.array(top, pa.binary())
-            t = next(steps(column, 1 << 40))
+            t = next(steps(column, 1 << 40, 1 << 40))
             yield pa.RecordBatch.from_arrays([pa.array(t.slice_hashes(t.offsets[:-1], t.offsets[1:]).view(np.int64)), pa.array(lib.counts(top), pa.int64())], names=["hash", "n"])
 
     slots, n = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
