@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewright.llm import chat, fingerprints, mixing, quality_crf, quality_rules as rules, warc
 from pagewright.llm.byte_bpe import bpe_decode, bpe_encode
+from pagewright.llm.near_dedup import near_dedup
 from pagewright.llm.substring_dedup import substring_dedup
 from pagewright.llm.tables import table
 from pagewright.llm.token_counts import token_counts
@@ -32,6 +33,10 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.classify(docs, model, keep=("doc_id",)).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -78,7 +83,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_quality_crf, op4_fingerprints, op5_mix_sources, op6_byte_bpe, op7_warc, op8_chat_format, op9_token_counts, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_quality_crf, op3_near_dedup, op4_fingerprints, op5_mix_sources, op6_byte_bpe, op7_warc, op8_chat_format, op9_token_counts, op10_substring_dedup)}
 
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
