@@ -6,21 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from pagewright.llm import chat, fingerprints, mixing, quality_crf, quality_rules as rules, warc
 from pagewright.llm.byte_bpe import bpe_decode, bpe_encode
 from pagewright.llm.near_dedup import near_dedup
 from pagewright.llm.substring_dedup import substring_dedup
-from pagewright.llm.tables import table
+from pagewright.llm.tables import held_out, table, vocabulary
 from pagewright.llm.token_counts import token_counts
 
 
-def vocabulary(name: str) -> str:
-    """Place of a public tokenizer's file; it is installed on every machine and never copied."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return rules.quality_rules(docs, rules.order(docs)).drop("text")
@@ -28,7 +22,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), 5) == 0, F.lit(False))
+    held = held_out(F.col("doc_id"))
     model = quality_crf.learn(docs, table(spark, sf_dir, "labels").where(~held))
     return quality_crf.classify(docs, model, keep=("doc_id",)).select("doc_id", held.alias("held_out"), "score", "predicted")
 
@@ -83,7 +77,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_quality_crf, op3_near_dedup, op4_fingerprints, op5_mix_sources, op6_byte_bpe, op7_warc, op8_chat_format, op9_token_counts, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_quality_crf, op3_near_dedup, op4_fingerprints, op5_mix_sources, op6_byte_bpe, op7_warc, op8_chat_format, op9_token_counts, op10_substring_dedup)} | {"pipeline": corpus_pipeline.run}
 
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

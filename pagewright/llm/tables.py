@@ -52,3 +52,15 @@ def size_in_words(text: Column | str = "text") -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def held_out(doc_id: Column) -> Column:
+    """Rows that no model learns from: crc32 of the id as text leaves no rest by 5."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), 5) == 0, F.lit(False))
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file; it is installed on every machine and never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
