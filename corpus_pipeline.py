@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pagewright.llm import mixing, quality_crf
-from pagewright.llm.byte_bpe import bpe_decode, bpe_encode
+from pagewright.llm.byte_bpe import bpe_encode
 from pagewright.llm.near_dedup import near_dedup
 from pagewright.llm.substring_dedup import substring_dedup
 from pagewright.llm.tables import held_out, shared_folder, table, vocabulary
@@ -45,7 +45,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text, and whether they decode to it."""
     path = vocabulary("byte_bpe_50k.tiktoken")
-    coded = bpe_decode(bpe_encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    coded = bpe_encode(docs.select("doc_id", "lang", "source", "text"), path, decoded=True)
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

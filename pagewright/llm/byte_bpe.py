@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, types as T
 from pagewright.llm.arrays import steps
 from pagewright.llm.pretokens import cuts, distinct, strings
 
-STEP, CACHE, LONG = 1 << 20, 1 << 19, 128
+STEP, CACHE, LONG = 512 << 10, 1 << 18, 128
 
 ENCODE = """
 WITH RECURSIVE t(step, word, pos, token) AS (
@@ -37,7 +37,7 @@ WITH RECURSIVE t(step, word, pos, token) AS (
      JOIN merges m ON m.pair = a.token * 65536 + b.token GROUP BY a.word)
    SELECT t.step + 1, t.word, t.pos - (t.pos > best % 65536)::BIGINT, CASE WHEN t.pos = best % 65536 THEN best // 65536 ELSE t.token END
    FROM t JOIN best USING (word) WHERE t.pos <> best % 65536 + 1))
-SELECT word, list(token ORDER BY pos) AS ids FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM t) WHERE step = last GROUP BY word ORDER BY word
+SELECT t.word, t.token FROM t JOIN (SELECT word, max(step) AS last FROM t GROUP BY word) l ON t.word = l.word AND t.step = l.last ORDER BY t.word, t.pos
 """
 DECODE = "SELECT i.doc, string_agg(v.shown, '' ORDER BY i.pos) AS shown FROM ids i JOIN vocabulary v ON v.id = i.id GROUP BY i.doc ORDER BY i.doc"
 
@@ -61,13 +61,14 @@ class Coder:
                     merged.append(r)
         self.merges = dict(zip(pairs, merged, strict=True))
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.duck = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": os.path.join(os.environ.get("TMPDIR", "/tmp"), f"duckdb-{os.getpid()}")})
+        self.duck = duckdb.connect(config={"threads": 1, "memory_limit": "128MB", "temp_directory": os.path.join(os.environ.get("TMPDIR", "/tmp"), f"duckdb-{os.getpid()}")})
         joined = pa.table({"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int64())})  # noqa: F841
         self.duck.execute("CREATE TABLE merges AS SELECT * FROM joined")
         # a byte is shown as a character from U+0100 on: one each, and none is special to SQL
         shown = pa.table({"id": pa.array(list(self.ranks.values()), pa.int64()), "shown": ["".join(chr(256 + b) for b in t) for t in self.ranks]})  # noqa: F841
         self.duck.execute("CREATE TABLE vocabulary AS SELECT * FROM shown")
-        self.known: dict[bytes, list[int]] = {}
+        self.whole = {t: np.uint16(r).tobytes() for t, r in self.ranks.items()}
+        self.known: dict[bytes, bytes] = {}  # pre-tokens and their ids, two bytes each
 
     def long(self, piece: bytes) -> list[int]:
         """The contractions of ENCODE for one long piece: least rank first, then leftmost."""
@@ -89,25 +90,23 @@ class Coder:
                     heapq.heappush(heap, (k, x, token[x], token[y]))
         return [t for t, ok in zip(token, alive, strict=True) if ok]
 
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        out: list[list[int] | None] = []
-        new = []
-        for p in pieces:
-            r = self.ranks.get(p)
-            out.append([r] if r is not None else self.known.get(p) if len(p) <= LONG else self.long(p))
-            if out[-1] is None:
-                new.append(p)
-        if new:
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each piece begin and end, and the ids."""
+        out = [self.whole.get(p) or self.known.get(p) or (np.array(self.long(p), np.uint16).tobytes() if len(p) > LONG else None) for p in pieces]
+        places = [i for i, x in enumerate(out) if x is None]
+        if places:
+            new = [pieces[i] for i in places]
             size = np.array([len(p) for p in new])
             word = np.repeat(np.arange(len(new)), size)
             spelled = pa.table({"word": word, "pos": np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size), "token": self.byte[np.frombuffer(b"".join(new), np.uint8)]})  # noqa: F841
-            ids = self.duck.sql(ENCODE).to_arrow_table()["ids"].to_pylist()
+            done = self.duck.sql(ENCODE).fetchnumpy()
+            ids = done["token"].astype(np.uint16).tobytes()
+            at = (2 * np.searchsorted(done["word"], np.arange(len(new) + 1))).tolist()
             if len(self.known) + len(new) > CACHE:
                 self.known.clear()
-            self.known.update(zip(new, ids, strict=True))
-            fresh = iter(ids)
-            out = [next(fresh) if x is None else x for x in out]
-        return out
+            for i, p, x, y in zip(places, new, at, at[1:], strict=False):
+                out[i] = self.known[p] = ids[x:y]
+        return np.concatenate([[0], np.cumsum([len(x) // 2 for x in out], dtype=np.int64)]), np.frombuffer(b"".join(out), np.uint16).astype(np.int32)
 
     def decode(self, at: np.ndarray, ids: np.ndarray) -> list[bytes]:
         """Bytes of each range ids[at[i]:at[i + 1]]."""
@@ -134,9 +133,13 @@ def gather(at: np.ndarray, flat: np.ndarray, which: np.ndarray) -> np.ndarray:
     return flat[np.arange(end[-1] if len(end) else 0) - np.repeat(end - size, size) + np.repeat(at[:-1][which], size)]
 
 
-def bpe_encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """docs (or its columns ``keep``) with ids: array of the tokens of the whole text."""
-    kept = [f for f in docs.schema.fields if f.name != "ids" and (keep is None or f.name in keep)]
+def bpe_encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] | None = None, decoded: bool = False) -> DataFrame:
+    """docs (or its columns ``keep``) with ids: array of the tokens of the whole text.
+
+    decoded: also what the ids decode to, as bpe_decode() would give it, without a second pass through Python.
+    """
+    made = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.BinaryType())] * decoded
+    kept = [f for f in docs.schema.fields if f.name not in {m.name for m in made} and (keep is None or f.name in keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
@@ -144,15 +147,14 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str,
             for t in steps(b.column(text), STEP):
                 starts = cuts(t)
                 pieces, which = distinct(strings(t, starts))
-                coded = c.encode(pieces)
-                at = np.concatenate([[0], np.cumsum([len(x) for x in coded], dtype=np.int64)])
-                flat = np.fromiter((i for x in coded for i in x), np.int32, at[-1])
+                at, flat = c.encode(pieces)
                 ids = gather(at, flat, which)
                 n = np.concatenate([[0], np.cumsum(np.diff(at)[which])])[np.searchsorted(starts, t.offsets)]
                 part = b.slice(t.first, t.count)
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.ListArray.from_arrays(pa.array(n.astype(np.int32)), pa.array(ids))], names=[*(f.name for f in kept), "ids"])
+                arrays = [pa.ListArray.from_arrays(pa.array(n.astype(np.int32)), pa.array(ids))] + ([pa.array(c.decode(n, ids), pa.binary())] if decoded else [])
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *arrays], names=[*(f.name for f in kept), *(m.name for m in made)])
 
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(run, T.StructType(kept + made))
 
 
 def bpe_decode(coded: DataFrame, path: str) -> DataFrame:

@@ -28,21 +28,23 @@ def classes() -> np.ndarray:
     kind = {"L": LETTER, "N": NUMBER}
     table = np.full(sys.maxunicode + 1, OTHER, np.uint8)
     unknown = []
-    for c in range(sys.maxunicode + 1):
+    for c in range(0x40000):  # no later plane has letters or numbers
         g = unicodedata.category(chr(c))
         if g == "Cn":
             unknown.append(c)
         elif g[0] in kind:
             table[c] = kind[g[0]]
     table[WHITE] = SPACE
+    import regex
     from tokenizers import pre_tokenizers
 
+    unknown = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, unknown)))]  # its tables are newer than both
+
     split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
     for mark, k in (("a", LETTER), ("1", NUMBER)):
-        some = [c for c in unknown if c < 0x40000]  # no later plane has letters or numbers
-        pieces = split.pre_tokenize_str("\n".join(mark + chr(c) for c in some))
+        pieces = split.pre_tokenize_str("\n".join(mark + chr(c) for c in unknown))
         starts = {a for _, (a, _) in pieces}
-        for i, c in enumerate(some):
+        for i, c in enumerate(unknown):
             if 3 * i + 1 not in starts:
                 table[c] = k
     return table

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from pagewright.llm import chat, fingerprints, mixing, quality_crf, quality_rules as rules, warc
-from pagewright.llm.byte_bpe import bpe_decode, bpe_encode
+from pagewright.llm.byte_bpe import bpe_encode
 from pagewright.llm.near_dedup import near_dedup
 from pagewright.llm.substring_dedup import substring_dedup
 from pagewright.llm.tables import held_out, table, vocabulary
@@ -42,7 +42,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.tiktoken")
-    coded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep=("doc_id",)), path)
+    coded = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep=("doc_id",), decoded=True)
     ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
