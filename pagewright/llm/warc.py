@@ -1,7 +1,7 @@
 """WARC records in ZIP-packaged archives: writing, and range-reading without extraction.
 
-An archive is a ZIP file with two stored members: the WARC records one after the other, and an index with a line for
-each record (id, offset, length). The reader finds the end record, and where that says so the ZIP64 end record, walks
+An archive is a ZIP file with two stored members: the WARC records one after the other, each a gzip member of its own,
+and an index with a line for each record (id, offset, length). The reader finds the end record, and where that says so the ZIP64 end record, walks
 the central directory, locates the data of the stored members from their local headers, and reads the index and single
 records by byte range. Nothing is unpacked and no archive is read as a whole.
 
@@ -18,6 +18,7 @@ left is never read. The list of archives is a table in the shared folder.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
 import struct
@@ -33,7 +34,7 @@ from pagewright.llm.tables import checkpoint, shared_folder
 
 #: Fixed values of the ZIP format.
 END, END64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
-RECORDS, INDEX = "archive/data.warc", "indexes/index.cdx"
+RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -48,7 +49,7 @@ def filesystem(uri: str):
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, n_bytes: int, refers_to: int | None, date: str) -> bytes:
-    """A response record, or a revisit without payload if refers_to is given."""
+    """A response record, or a revisit without payload if refers_to is given, as a gzip member."""
     revisit = refers_to is not None
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode() + (b"" if revisit else payload)
     name = lambda i: f"<urn:page:{'' if i is None else i}>"
@@ -56,7 +57,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, n_
     head += [f"WARC-Target-URI: {quote(url, safe=''':/?#[]@!$&'()*+,;=%~''')}"] if url is not None else []
     head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {name(refers_to)}"] if revisit else []
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
 
 
 def _fields(lines: bytes) -> dict[str, str]:
@@ -65,6 +66,7 @@ def _fields(lines: bytes) -> dict[str, str]:
 
 def parse(raw: bytes) -> dict:
     """A record's fields and payload; of a response the digest and size are taken from the payload itself."""
+    raw = gzip.decompress(raw)
     head, _, rest = raw.partition(b"\r\n\r\n")
     if not head.startswith(b"WARC/1."):
         raise ValueError("no WARC record")
