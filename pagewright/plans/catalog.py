@@ -1,17 +1,552 @@
-"""All queries of the engine by name, each with the SQL that gives the same rows."""
+"""All queries of the engine by name, each with the SQL that gives the same rows where there is one."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+from pagewright.functions import text as t
+from pagewright.operators import extract as ex, layout, locate, mark, repair, validate
+from pagewright.operators.extract import Options
+from pagewright.sources import html_tree, texts
+from pagewright.sources.template import template
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, tuple[Query, str | None]] = {}
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+WS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+WORD = r"[\p{L}\p{N}_]"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     return {k: sql for k, (_, sql) in QUERIES.items() if sql}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages, one a document."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def html_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")
+
+
+def project(column: Callable[[Column], Column], name: str = "result", text: Callable[[Column], Column] = lambda c: c) -> Query:
+    return lambda spark, sf_dir: documents(spark, sf_dir).select("doc_id", column(text(F.col("text"))).alias(name))
+
+
+def sql_words(text: str) -> str:
+    return f"list_filter(regexp_split_to_array({text}, '{WS}+'), lambda x: x <> '')"
+
+
+DOCS = f"d AS (SELECT doc_id, coalesce(text, '') AS text, {sql_words("coalesce(text, '')")} AS w FROM documents)"
+STRIP = lambda x: f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+COLLAPSE = lambda x: f"regexp_replace({x}, '{WS}+', ' ', 'g')"
+SLASHES = lambda x: f"regexp_replace(regexp_replace({x}, '{WS}+/{WS}*', '/', 'g'), '{WS}*/{WS}+', '/', 'g')"
+EXCLUDED = (rf"(?i)[A-Z0-9][A-Za-z0-9\t-\r\x1c-\x20\x{{85}}\p{{Z}}:./\-]*\.indd{WS}+\p{{Nd}}+", rf"(?i)\p{{Nd}}{{1,2}}/\p{{Nd}}{{1,2}}/\p{{Nd}}{{2,4}}{WS}+\p{{Nd}}{{1,2}}:\p{{Nd}}{{2}}{WS}*(AM|PM)?")
+
+
+def sql_excluded(x: str) -> str:
+    for p in EXCLUDED:
+        x = f"regexp_replace({x}, '{p}', '', 'g')"
+    return STRIP(COLLAPSE(x))
+
+
+def sql_dehyphenate(x: str) -> str:
+    return rf"regexp_replace({x}, '({WORD})-{WS}+({WORD})', '\1\2', 'g')"
+
+
+def sql_rfind(mark: str, s: str) -> str:
+    """0-based, -1 without one."""
+    return f"CASE WHEN strpos(reverse({s}), '{mark[::-1]}') > 0 THEN length({s}) - strpos(reverse({s}), '{mark[::-1]}') - {len(mark) - 1} ELSE -1 END"
+
+
+def sql_trim_end(s: str) -> str:
+    best = ", ".join(f"CASE WHEN ({sql_rfind(b, s)}) > length({s}) // 3 THEN ({sql_rfind(b, s)}) ELSE -1 END" for b in (". ", "; ", ": ", "· "))
+    bare = f"regexp_replace({s}, '{WS}+$', '')"
+    return f"CASE WHEN regexp_matches({bare}, '[.;:·]$') THEN {bare} WHEN greatest({best}) > 0 THEN regexp_replace(substring({s}, 1, greatest({best}) + 1), '{WS}+$', '') ELSE {s} END"
+
+
+# -- words and snippets ----------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {DOCS} SELECT doc_id, len(w)::BIGINT AS n_words, CASE WHEN len(w) < 3 THEN 'insufficient_text' ELSE 'successful' END AS status FROM d")
+def word_count_page(spark, sf_dir):
+    n = F.size(t.words(F.col("text"))).cast("long")
+    return documents(spark, sf_dir).select("doc_id", n.alias("n_words"), F.when(n < 3, "insufficient_text").otherwise("successful").alias("status"))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, array_to_string(w[-10:], ' ') AS snippet FROM d WHERE len(w) >= 3")
+def snippet_end(spark, sf_dir):
+    return documents(spark, sf_dir).withColumn("w", t.words(F.col("text"))).where(F.size("w") >= 3).select("doc_id", t.last_words(F.col("w"), 10).alias("snippet"))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, array_to_string(w[:10], ' ') AS snippet FROM d WHERE len(w) >= 3")
+def snippet_begin(spark, sf_dir):
+    return documents(spark, sf_dir).withColumn("w", t.words(F.col("text"))).where(F.size("w") >= 3).select("doc_id", t.first_words(F.col("w"), 10).alias("snippet"))
+
+
+@query(f"WITH {DOCS}, s AS (SELECT doc_id, array_to_string(w[-10:], ' ') AS s FROM d) SELECT doc_id, {sql_trim_end('s')} AS result FROM s")
+def trim_end_boundary(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", t.last_words(t.words(F.col("text")), 10).alias("s")).select("doc_id", t.trim_end_boundary(F.col("s")).alias("result"))
+
+
+@query(rf"WITH {DOCS}, s AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '12. ' WHEN 1 THEN '«' ELSE '' END || array_to_string(w[:10], ' ') AS s FROM d) SELECT doc_id, CASE WHEN regexp_matches(s, '^\p{{L}}') OR NOT regexp_matches(s, '[A-Za-zΑ-Ωα-ωά-ώ]') THEN s ELSE regexp_replace(s, '^[^A-Za-zΑ-Ωα-ωά-ώ]+', '') END AS result FROM s")
+def trim_start_boundary(spark, sf_dir):
+    head = F.when(F.col("doc_id") % 3 == 0, "12. ").when(F.col("doc_id") % 3 == 1, "«").otherwise("")
+    return documents(spark, sf_dir).select("doc_id", F.concat(head, t.first_words(t.words(F.col("text")), 10)).alias("s")).select("doc_id", t.trim_start_boundary(F.col("s")).alias("result"))
+
+
+LITERAL = " Prose, here is XRDD 4:2025 SEL.indd 818 tail, 5/1/26 2:15 PM end"
+QUERIES["metadata_filter"] = (project(t.filter_metadata, text=lambda c: F.concat(c, F.lit(LITERAL))), f"WITH {DOCS} SELECT doc_id, {sql_excluded(f"text || '{LITERAL}'")} AS result FROM d")
+QUERIES["dehyphenate"] = (project(t.dehyphenate, text=lambda c: F.replace(c, F.lit("en "), F.lit("e-  n "))), f"WITH {DOCS} SELECT doc_id, {sql_dehyphenate("replace(text, 'en ', 'e-  n ')")} AS result FROM d")
+NOISY = " 07_Layout 1 12/3/21 4:05 PM Page 12 rest Page 7, 3/4/2020 1:22 AM 03_Layout 2 and Page 9 end"
+NOISE = (rf"(?i)\p{{Nd}}{{2}}_Layout{WS}+\p{{Nd}}+{WS}+\p{{Nd}}{{1,2}}/\p{{Nd}}{{1,2}}/\p{{Nd}}{{2,4}}{WS}+\p{{Nd}}{{1,2}}:\p{{Nd}}{{2}}{WS}+[AP]M{WS}+Page{WS}+\p{{Nd}}+", rf"(?i)\p{{Nd}}{{2}}_Layout{WS}+\p{{Nd}}+.*?Page{WS}+\p{{Nd}}+", rf"(?i)Page{WS}+\p{{Nd}}+", rf"(?i)\p{{Nd}}{{1,2}}/\p{{Nd}}{{1,2}}/\p{{Nd}}{{2,4}}{WS}+\p{{Nd}}{{1,2}}:\p{{Nd}}{{2}}{WS}+[AP]M")
+
+
+def _sql_noise(x: str) -> str:
+    for p in NOISE:
+        x = f"regexp_replace({x}, '{p}', '', 'g')"
+    return STRIP(COLLAPSE(x))
+
+
+QUERIES["pdf_noise"] = (project(t.clean_noise, text=lambda c: F.concat(c, F.lit(NOISY))), f"WITH {DOCS} SELECT doc_id, {_sql_noise(f"text || '{NOISY}'")} AS result FROM d")
+QUERIES["slash_tighten"] = (project(t.tighten_slashes, text=lambda c: F.replace(c, F.lit(" en"), F.lit(" / en"))), f"WITH {DOCS} SELECT doc_id, {SLASHES("replace(text, ' en', ' / en')")} AS result FROM d")
+QUERIES["punct_tighten"] = (project(t.tighten_punctuation, text=lambda c: F.replace(c, F.lit(","), F.lit("  ,"))), rf"WITH {DOCS} SELECT doc_id, regexp_replace(replace(text, ',', '  ,'), '{WS}+([.,;:!?·])', '\1', 'g') AS result FROM d")
+
+CONTEXT = f"WITH {DOCS}, s AS (SELECT *, array_to_string(w[6:8], ' ') AS s FROM d), p AS (SELECT *, CASE WHEN s = '' THEN 0 ELSE strpos(text, s) END AS p FROM s), c AS (SELECT doc_id, p, {sql_words('substring(text, 1, p - 1)')} AS b, {sql_words('substring(text, p + length(s))')} AS a FROM p) "
+
+
+@query(CONTEXT + "SELECT doc_id, CASE WHEN p = 0 THEN '' ELSE array_to_string(b[-4:], ' ') END AS context_before, CASE WHEN p = 0 THEN '' ELSE array_to_string(a[:4], ' ') END AS context_after FROM c")
+def context_page(spark, sf_dir):
+    s = F.array_join(F.slice(t.words(F.col("text")), 6, 3), " ")
+    return documents(spark, sf_dir).withColumn("c", t.page_context(F.col("text"), s)).select("doc_id", F.col("c.before").alias("context_before"), F.col("c.after").alias("context_after"))
+
+
+RECORDS = f"""WITH {DOCS}, x AS (SELECT doc_id, {sql_dehyphenate(sql_excluded('text'))} AS text FROM d), y AS (SELECT *, {sql_words('text')} AS w FROM x),
+z AS (SELECT *, len(w) >= 3 AS ok, array_to_string(w[-10:], ' ') AS s FROM y), p AS (SELECT *, CASE WHEN s = '' THEN 0 ELSE strpos(text, s) END AS p FROM z),
+c AS (SELECT *, CASE WHEN p > 0 THEN array_to_string(({sql_words('substring(text, 1, p - 1)')})[-4:], ' ') ELSE '' END AS b, CASE WHEN p > 0 THEN array_to_string(({sql_words('substring(text, p + length(s))')})[:4], ' ') ELSE '' END AS a FROM p),
+r AS (SELECT doc_id, 1 AS page, CASE WHEN ok THEN {sql_trim_end('s')} ELSE '{t.PLACEHOLDER_END}' END AS snippet, CASE WHEN ok AND (b <> '' OR a <> '') THEN b END AS context_before, CASE WHEN ok AND (b <> '' OR a <> '') THEN a END AS context_after,
+  CASE WHEN NOT ok THEN 'Insufficient text (found ' || len(w) || ' words)' END AS note, CASE WHEN ok THEN 'successful' ELSE 'insufficient_text' END AS status,
+  CASE WHEN ok THEN CASE WHEN b = '' AND a = '' THEN 'context_failed' WHEN b <> '' AND a <> '' THEN 'context_extracted' ELSE 'context_partial' END END AS context_status FROM c) """
+RECORD_COLUMNS = "doc_id, snippet, context_before, context_after, note, status, context_status"
+
+
+@query(RECORDS + f"SELECT {RECORD_COLUMNS} FROM r")
+def extract_records(spark, sf_dir):
+    return ex.extract(documents(spark, sf_dir)).select(*RECORD_COLUMNS.split(", "))
+
+
+@query(RECORDS + "SELECT count(*) AS total_pages, count(*) FILTER (status = 'successful') AS successful, count(*) FILTER (status = 'insufficient_text') AS insufficient_text, 0::BIGINT AS failed, count(*) FILTER (context_status = 'context_extracted') AS context_extracted, count(*) FILTER (context_status = 'context_partial') AS context_partial, count(*) FILTER (context_status = 'context_failed') AS context_failed FROM r")
+def extract_stats(spark, sf_dir):
+    return ex.stats(ex.extract(documents(spark, sf_dir)))
+
+
+@query(f"WITH {DOCS} SELECT doc_id + 7 AS page, array_to_string(w[-10:], ' ') AS snippet FROM d WHERE doc_id >= 100 AND doc_id <= 900 AND len(w) >= 3")
+def page_range_offset(spark, sf_dir):
+    rows = documents(spark, sf_dir).withColumn("w", t.words(F.col("text"))).where(F.size("w") >= 3).select(F.col("doc_id").alias("page"), t.last_words(F.col("w"), 10).alias("snippet"))
+    return ex.page_range(rows, 100, 900, 7)
+
+
+# -- HTML text -------------------------------------------------------------------------------------------------------
+
+FLAT = {
+    "completion": COLLAPSE(f"regexp_replace(regexp_replace(html, '{t.FOOTNOTE_LIST}', '', 'g'), '<[^>]+>', '', 'g')"),
+    "matcher": STRIP(COLLAPSE("regexp_replace(html, '<[^>]+>', ' ', 'g')")),
+    "validate": SLASHES(COLLAPSE("regexp_replace(html, '<[^>]+>', '', 'g')")),
+}
+for _name, _f in (("completion", t.html_for_completion), ("matcher", t.html_for_matching), ("validate", t.html_for_validation)):
+    QUERIES[f"flat_html_{_name}"] = ((lambda f: lambda spark, sf_dir: html_docs(spark, sf_dir).select("doc_id", f(F.col("html")).alias("text")))(_f), f"SELECT page_id AS doc_id, {FLAT[_name]} AS text FROM pages")
+
+
+@query()
+def html_containers(spark, sf_dir):
+    return html_tree.container_table(html_docs(spark, sf_dir))
+
+
+@query()
+def html_text_nodes(spark, sf_dir):
+    return html_tree.node_table(html_docs(spark, sf_dir))
+
+
+# -- validation ------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {DOCS}, s AS (SELECT array_to_string(w[-10:], ' ') AS snippet FROM d WHERE len(w) >= 3) SELECT snippet, count(*) AS n FROM s GROUP BY snippet HAVING count(*) > 1")
+def dup_snippets(spark, sf_dir):
+    return validate.duplicates(snippet_end(spark, sf_dir))
+
+
+@query(f"WITH {DOCS}, s AS (SELECT array_to_string(w[-10:], ' ') AS snippet FROM d WHERE len(w) >= 3), n AS (SELECT snippet, count(*) AS n FROM s GROUP BY snippet HAVING count(*) > 1) SELECT substring(snippet, 1, 60) AS shown, n FROM n ORDER BY n DESC, snippet LIMIT 5")
+def top_duplicates(spark, sf_dir):
+    return dup_snippets(spark, sf_dir).orderBy(F.col("n").desc(), "snippet").limit(5).select(F.substring("snippet", 1, 60).alias("shown"), "n")
+
+
+@query(RECORDS + f"SELECT count(*)::BIGINT AS total_snippets, count(DISTINCT snippet)::BIGINT AS unique_snippets, count(*) FILTER (snippet = '{t.PLACEHOLDER_END}')::BIGINT AS placeholder_count, count(*) FILTER (context_before <> '' AND context_after <> '')::BIGINT AS context_full, count(*) FILTER ((coalesce(context_before, '') <> '') <> (coalesce(context_after, '') <> ''))::BIGINT AS context_partial, count(*) FILTER (coalesce(context_before, '') = '' AND coalesce(context_after, '') = '')::BIGINT AS context_none FROM r")
+def validate_summary(spark, sf_dir):
+    return validate.summary(ex.extract(documents(spark, sf_dir)))
+
+
+def page_records(spark, sf_dir):
+    """A snippet of each page's flat text, every third one spoiled, every tenth a placeholder."""
+    w = t.words(t.html_for_validation(F.col("html")))
+    s = F.array_join(F.slice(w, 3, 5), " ")
+    spoiled = F.when(F.col("doc_id") % 10 == 9, t.PLACEHOLDER_END).when(F.col("doc_id") % 3 == 1, F.concat(s, F.lit(" absent"))).otherwise(s)
+    return html_docs(spark, sf_dir).select("doc_id", F.lit(0).alias("ord"), F.col("doc_id").cast("string").alias("page"), spoiled.alias("snippet"))
+
+
+PAGE_RECORDS = f"WITH f AS (SELECT page_id AS doc_id, {FLAT['validate']} AS text FROM pages), s AS (SELECT *, array_to_string(({sql_words('text')})[3:7], ' ') AS s FROM f), r AS (SELECT doc_id, text, CASE WHEN doc_id % 10 = 9 THEN '{t.PLACEHOLDER_END}' WHEN doc_id % 3 = 1 THEN s || ' absent' ELSE s END AS snippet FROM s), m AS (SELECT *, snippet = '{t.PLACEHOLDER_END}' AS held, snippet <> '' AND snippet <> '{t.PLACEHOLDER_END}' AND NOT contains(text, snippet) AS gone FROM r) "
+
+
+@query(PAGE_RECORDS + "SELECT doc_id, doc_id::VARCHAR AS page, snippet FROM m WHERE gone")
+def missing_from_html(spark, sf_dir):
+    return validate.missing(page_records(spark, sf_dir), html_docs(spark, sf_dir)).select("doc_id", "page", "snippet")
+
+
+@query(PAGE_RECORDS + "SELECT count(*) FILTER (gone) AS missing_count, (count(*) - count(*) FILTER (gone) - count(*) FILTER (held))::DOUBLE / greatest(1, count(*) - count(*) FILTER (held))::DOUBLE AS html_match_rate FROM m")
+def match_rate(spark, sf_dir):
+    return validate.match_rate(page_records(spark, sf_dir), html_docs(spark, sf_dir))
+
+
+@query(PAGE_RECORDS + "SELECT list(doc_id::VARCHAR ORDER BY doc_id) AS pages FROM m WHERE gone")
+def missing_pages(spark, sf_dir):
+    gone = validate.missing(page_records(spark, sf_dir), html_docs(spark, sf_dir))
+    return gone.agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "page"))), lambda x: x["page"]).alias("pages"))
+
+
+@query(f"WITH {DOCS}, s AS (SELECT array_to_string(w[-10:], ' ') AS snippet FROM d WHERE len(w) >= 3) SELECT (SELECT count(*) FROM s WHERE snippet = '{t.PLACEHOLDER_END}') = 0 AND count(*) = count(DISTINCT snippet) AS ready FROM s")
+def ready_gate(spark, sf_dir):
+    rows = snippet_end(spark, sf_dir).withColumns({"context_before": F.lit(None).cast("string"), "context_after": F.lit(None).cast("string")})
+    return validate.summary(rows).select(((F.col("placeholder_count") == 0) & (F.col("total_snippets") == F.col("unique_snippets"))).alias("ready"))
+
+
+@query(RECORDS + "SELECT doc_id, CASE WHEN len(snippet) % 2 = 0 THEN len(snippet) / 100.0::DOUBLE END AS confidence FROM r WHERE coalesce(CASE WHEN len(snippet) % 2 = 0 THEN len(snippet) / 100.0::DOUBLE END, 1) < 0.7")
+def low_confidence(spark, sf_dir):
+    return ex.review(_confident(spark, sf_dir))[0].select("doc_id", "confidence")
+
+
+@query(RECORDS + ", e AS (SELECT coalesce(CASE WHEN len(snippet) % 2 = 0 THEN len(snippet) END, 100)::BIGINT AS c FROM r) SELECT sum(c)::BIGINT AS total_percent, count(*) FILTER (c < 70) AS n_low FROM e")
+def confidence_review(spark, sf_dir):
+    low, _ = ex.review(_confident(spark, sf_dir))
+    rows = _confident(spark, sf_dir).agg(F.sum(F.round(F.coalesce("confidence", F.lit(1.0)) * 100).cast("long")).alias("total_percent"))
+    return rows.join(low.agg(F.count("*").alias("n_low")), F.lit(True))
+
+
+def _confident(spark, sf_dir):
+    n = F.length("snippet")
+    return ex.extract(documents(spark, sf_dir)).withColumn("confidence", F.when(n % 2 == 0, n / 100.0))
+
+
+# -- places ----------------------------------------------------------------------------------------------------------
+
+
+def _turns(spark, sf_dir):
+    """Conversations as documents: each turn is a container."""
+    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    return rows.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("container_idx"), "text")
+
+
+def _turn_refs(spark, sf_dir):
+    """The second and third word of each turn as a snippet, with the words around it in reverse as context."""
+    w = t.words(F.col("text"))
+    return _turns(spark, sf_dir).select("doc_id", F.col("container_idx").alias("ord"), F.col("container_idx").cast("string").alias("page"), F.array_join(F.slice(w, 2, 1), " ").alias("snippet"), F.array_join(F.slice(w, 1, 1), " ").alias("context_before"), F.array_join(F.slice(w, 3, 3), " ").alias("context_after")).where("snippet <> ''")
+
+
+TURNS = f"""WITH c AS (SELECT conv_id AS doc_id, turn::INTEGER AS container_idx, text, {sql_words('text')} AS w FROM conversations WHERE text IS NOT NULL),
+r AS (SELECT doc_id, container_idx AS ord, w[2] AS snippet, w[1] AS context_before, array_to_string(w[3:5], ' ') AS context_after FROM c WHERE len(w) > 1),
+found AS (SELECT r.doc_id, r.ord, r.snippet, r.context_before, r.context_after, c.container_idx, c.text, unnest(list_filter(range(0, length(c.text)), lambda i: substring(c.text, i + 1, length(r.snippet)) = r.snippet)) AS start FROM r JOIN c ON c.doc_id = r.doc_id AND contains(c.text, r.snippet)),
+m AS (SELECT *, start + length(snippet) AS marker_pos FROM found) """
+
+
+@query(TURNS + "SELECT doc_id, ord, container_idx, start::INTEGER AS start, marker_pos::INTEGER AS marker_pos FROM m")
+def occurrences_overlapping(spark, sf_dir):
+    return locate.candidates(_turn_refs(spark, sf_dir), _turns(spark, sf_dir)).select("doc_id", "ord", "container_idx", "start", "marker_pos")
+
+
+@query("SELECT length(text) AS n_chars, doc_id, list_filter(range(0, length(text)), lambda i: substring(text, i + 1, 2) = 'ee') AS places FROM documents".replace("length(text) AS", "length(text)::BIGINT AS").replace("AS places", "::INTEGER[] AS places"))
+def overlapping_places(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n_chars"), t.occurrences(F.lit("ee"), F.col("text")).alias("places"))
+
+
+def _set(x: str) -> str:
+    return f"list_distinct(list_transform({sql_words(x)}, lambda y: strip_accents(lower(y))))"
+
+
+def _jaccard(a: str, b: str) -> str:
+    x, y = _set(a), _set(b)
+    return f"CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({x}, {y}))::DOUBLE / len(list_distinct(list_concat({x}, {y})))::DOUBLE END"
+
+
+SCORED = TURNS + f""", a AS (SELECT *, array_to_string(({sql_words('substring(text, 1, start)')})[-4:], ' ') AS fb, array_to_string(({sql_words('substring(text, marker_pos + 1)')})[:4], ' ') AS fa FROM m),
+j AS (SELECT *, {_jaccard('context_before', 'fb')} AS jb, {_jaccard('context_after', 'fa')} AS ja FROM a),
+s AS (SELECT *, CASE WHEN context_before <> '' AND context_after <> '' THEN 0.4::DOUBLE * jb + 0.6::DOUBLE * ja WHEN context_before <> '' THEN jb WHEN context_after <> '' THEN ja ELSE 0.0::DOUBLE END AS score FROM j) """
+
+
+@query(SCORED + "SELECT doc_id, ord, container_idx, start::INTEGER AS start, score FROM s")
+def context_score(spark, sf_dir):
+    return locate.scored(locate.candidates(_turn_refs(spark, sf_dir), _turns(spark, sf_dir))).select("doc_id", "ord", "container_idx", "start", "score")
+
+
+@query(SCORED + ", b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ord ORDER BY score DESC, container_idx, marker_pos) AS k, row_number() OVER (PARTITION BY doc_id, ord ORDER BY container_idx, marker_pos) AS f, max(score) OVER (PARTITION BY doc_id, ord) AS top FROM s) SELECT doc_id, ord, container_idx, marker_pos::INTEGER AS marker_pos, score FROM b WHERE top >= 0.3 AND k = 1 OR top < 0.3 AND f = 1")
+def best_match(spark, sf_dir):
+    found = locate.scored(locate.candidates(_turn_refs(spark, sf_dir), _turns(spark, sf_dir)))
+    return locate.best(found).select("doc_id", "ord", "container_idx", "marker_pos", "score")
+
+
+@query(f"WITH {DOCS}, n AS (SELECT doc_id, lead(text) OVER (ORDER BY doc_id) AS other, text FROM d) SELECT doc_id, {_jaccard('substring(text, 1, 200)', 'substring(other, 1, 200)')} AS score FROM n WHERE other IS NOT NULL".replace("lead(text) OVER (ORDER BY doc_id) AS other", "(SELECT max(text) FROM d e WHERE e.doc_id = d.doc_id + 1) AS other"))
+def jaccard_context(spark, sf_dir):
+    """The first 200 characters of each document and of the next."""
+    d = documents(spark, sf_dir)
+    n = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
+    return d.join(n, "doc_id").select("doc_id", t.jaccard(F.substring("text", 1, 200), F.substring("other", 1, 200)).alias("score"))
+
+
+@query(TURNS.replace("WITH c AS", "WITH RECURSIVE c AS") + """, last AS (SELECT doc_id, max(ord) AS last FROM r GROUP BY doc_id),
+p AS (SELECT doc_id, -1 AS ord, -1 AS idx, 0::BIGINT AS pos, false AS placed, last FROM last
+UNION ALL
+(WITH n AS (SELECT p.doc_id, min({'i': m.container_idx, 's': m.start, 'p': m.marker_pos}) AS x FROM p JOIN m ON m.doc_id = p.doc_id AND m.ord = p.ord + 1 AND (m.container_idx > p.idx OR m.container_idx = p.idx AND m.start >= p.pos) GROUP BY p.doc_id)
+SELECT p.doc_id, p.ord + 1, coalesce(n.x.i, p.idx), coalesce(n.x.p, p.pos), n.x IS NOT NULL, p.last FROM p LEFT JOIN n ON n.doc_id = p.doc_id WHERE p.ord < p.last))
+SELECT doc_id, ord, idx AS container_idx, pos::INTEGER AS marker_pos FROM p WHERE placed""")
+def placement_sequential(spark, sf_dir):
+    return locate.sequential(locate.candidates(_turn_refs(spark, sf_dir), _turns(spark, sf_dir)))
+
+
+@query("WITH e AS (SELECT user_id AS doc_id, event_id AS pos, CASE WHEN event_id % 7 = 0 THEN 'iv' ELSE (abs(floor(value))::BIGINT % 50)::VARCHAR END AS label FROM events), n AS (SELECT *, CASE WHEN regexp_matches(label, '^[0-9]+$') THEN label::BIGINT END AS n FROM e WHERE label IS NOT NULL) SELECT doc_id, pos, label, coalesce(n < coalesce(max(n) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1), false) AS removed FROM n".replace("CASE WHEN regexp_matches(label, '^[0-9]+$') THEN label::BIGINT END", "try_cast(label AS BIGINT)"))
+def out_of_order(spark, sf_dir):
+    label = F.when(F.col("event_id") % 7 == 0, "iv").otherwise((F.abs(F.floor("value")).cast("long") % 50).cast("string"))
+    return locate.out_of_order(table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("pos"), label.alias("label")).where("label IS NOT NULL"))
+
+
+@query("SELECT conv_id AS doc_id, turn::INTEGER AS ord, role AS page, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS occurrence FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL")
+def page_occurrence(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("ord"), F.col("role").alias("page"), F.col("text").alias("snippet")).where("snippet IS NOT NULL AND page IS NOT NULL")
+    return locate.occurrence(rows).drop("snippet")
+
+
+@query("SELECT conv_id AS doc_id, turn::INTEGER AS ord, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_off FROM conversations")
+def node_offsets(spark, sf_dir):
+    before = F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("ord"), F.coalesce(before, F.lit(0)).cast("long").alias("start_off"))
+
+
+@query("WITH n AS (SELECT conv_id AS doc_id, turn::INTEGER AS node_idx, length(text) AS size, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_off FROM conversations), p AS (SELECT DISTINCT conv_id AS doc_id, unnest([1, 100, 500, 1000]) AS marker_pos FROM conversations) SELECT p.doc_id, p.marker_pos, node_idx, (marker_pos - start_off)::INTEGER AS pos_in_node FROM p JOIN n ON n.doc_id = p.doc_id AND start_off < marker_pos AND marker_pos <= start_off + size")
+def offset_to_node(spark, sf_dir):
+    rows = node_offsets(spark, sf_dir).join(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("ord"), F.length("text").alias("size")), ["doc_id", "ord"])
+    nodes = rows.select("doc_id", F.lit(0).alias("container_idx"), F.col("ord").alias("node_idx"), F.col("start_off").cast("int").alias("start_off"), (F.col("start_off") + F.col("size")).cast("int").alias("end_off"))
+    places = nodes.select("doc_id", "container_idx").distinct().withColumn("marker_pos", F.explode(F.array(*(F.lit(x) for x in (1, 100, 500, 1000)))))
+    return locate.in_node(places, nodes).select("doc_id", "marker_pos", "node_idx", "pos_in_node")
+
+
+@query()
+def html_mark(spark, sf_dir):
+    return mark.mark(_page_refs(spark, sf_dir), html_docs(spark, sf_dir), css=True)
+
+
+@query()
+def html_place(spark, sf_dir):
+    return mark.place(_page_refs(spark, sf_dir), html_docs(spark, sf_dir))
+
+
+def _page_refs(spark, sf_dir):
+    """Three words from the middle of each leaf container, in order."""
+    w = t.words(F.col("text"))
+    c = html_tree.container_table(html_docs(spark, sf_dir)).where(F.size(w) > 8)
+    return c.select("doc_id", F.col("container_idx").alias("ord"), (F.col("container_idx") + 1).cast("string").alias("page"), F.array_join(F.slice(w, 4, 3), " ").alias("snippet"), F.when(F.col("container_idx") % 2 == 0, F.array_join(F.slice(w, 7, 3), " ")).alias("context_after"))
+
+
+# -- labels and rendering --------------------------------------------------------------------------------------------
+
+
+@query("WITH e AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'iv' WHEN 1 THEN (event_id % 97)::VARCHAR WHEN 2 THEN '007' ELSE 'A-' || (event_id % 5) END AS page FROM events) SELECT event_id, page, CASE WHEN regexp_matches(page, '^[0-9]+$') THEN page::BIGINT ELSE 0 END AS number, page AS label FROM e".replace("page::BIGINT", "try_cast(page AS BIGINT)"))
+def ref_sort_key(spark, sf_dir):
+    i = F.col("event_id")
+    page = F.when(i % 4 == 0, "iv").when(i % 4 == 1, (i % 97).cast("string")).when(i % 4 == 2, "007").otherwise(F.concat(F.lit("A-"), (i % 5).cast("string")))
+    number, label = t.sort_keys(F.col("page"))
+    return table(spark, sf_dir, "events").select("event_id", page.alias("page")).select("event_id", "page", number.alias("number"), label.alias("label"))
+
+
+@query(f"SELECT (i - 11)::INTEGER AS ord, i::VARCHAR AS page, '{t.PLACEHOLDER_END}' AS snippet FROM range(11, 311) r(i)")
+def template_rows(spark, sf_dir):
+    return template(spark, 300, 11)
+
+
+@query(f"SELECT (i - 1)::INTEGER AS ord, CASE WHEN i <= 20 THEN [{', '.join(repr(r) for r in t.ROMAN)}][i] ELSE i::VARCHAR END AS page, '{t.PLACEHOLDER_END}' AS snippet FROM range(1, 26) r(i)")
+def roman_labels(spark, sf_dir):
+    return template(spark, 25, 1, use_roman=True)
+
+
+@query("""SELECT event_id, '<span id="page' || (event_id % 300) || CASE WHEN event_id % 3 > 0 THEN '-' || (event_id % 3 + 1) ELSE '' END || '" class="page-number" role="note" aria-label="Page ' || (event_id % 300) || '">' || (event_id % 300) || '</span>' AS marker FROM events""")
+def marker_render(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", t.marker_html((F.col("event_id") % 300).cast("string"), F.col("event_id") % 3 + 1).alias("marker"))
+
+
+@query(f"WITH {DOCS}, s AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN array_to_string(w[1:3], ' ') || ' | ' || array_to_string(w[4:5], ' ') ELSE array_to_string(w[1:3], ' ') END AS s FROM d WHERE len(w) > 5), h AS (SELECT doc_id, s, strpos(s, '|') AS p FROM s) SELECT doc_id, CASE WHEN p > 0 THEN {STRIP(STRIP('substring(s, 1, p - 1)') + " || ' ' || " + STRIP('substring(s, p + 1)'))} ELSE s END AS search, CASE WHEN p > 0 THEN length({STRIP('substring(s, 1, p - 1)')}) ELSE length(s) END::INTEGER AS offset_ FROM h")
+def break_marker_split(spark, sf_dir):
+    w = t.words(F.col("text"))
+    s = F.when(F.col("doc_id") % 2 == 0, F.concat(F.array_join(F.slice(w, 1, 3), " "), F.lit(" | "), F.array_join(F.slice(w, 4, 2), " "))).otherwise(F.array_join(F.slice(w, 1, 3), " "))
+    return documents(spark, sf_dir).where(F.size(w) > 5).select("doc_id", t.break_mark(s).alias("b")).select("doc_id", "b.search", F.col("b.offset").alias("offset_"))
+
+
+# -- words and dictionaries ------------------------------------------------------------------------------------------
+
+
+def _words(spark, sf_dir):
+    return documents(spark, sf_dir).select(F.explode(t.words(F.col("text"))).alias("word")).distinct()
+
+
+ALL_WORDS = f"WITH {DOCS}, v AS (SELECT DISTINCT unnest(w) AS word FROM d) "
+
+
+@query(ALL_WORDS + "SELECT word, strip_accents(lower(word)) AS plain FROM v")
+def normalize_word(spark, sf_dir):
+    return _words(spark, sf_dir).select("word", t.normalize_word(F.col("word")).alias("plain"))
+
+
+SMALL = ("the", "of", "and", "Que", "der", "en")
+
+
+@query(ALL_WORDS + ", k AS (SELECT DISTINCT unnest([x, lower(x)]) AS k FROM (VALUES ('the'), ('of'), ('and'), ('Que'), ('der'), ('en')) s(x)) SELECT word FROM v SEMI JOIN k ON lower(word) = k")
+def dictionary_words(spark, sf_dir):
+    return texts.known_words(_words(spark, sf_dir), texts.dictionary_table(spark, SMALL))
+
+
+@query("SELECT DISTINCT unnest([x, lower(x)]) AS word FROM (VALUES ('the'), ('of'), ('and'), ('Que'), ('der'), ('en')) s(x)")
+def dictionary_expand(spark, sf_dir):
+    return texts.dictionary_table(spark, SMALL)
+
+
+@query(ALL_WORDS + "SELECT max(length(word))::BIGINT AS max_word_length FROM v")
+def max_word_length(spark, sf_dir):
+    return texts.longest(_words(spark, sf_dir))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, len(list_filter(w, lambda x: lower(x) IN ('the', 'of', 'and', 'que', 'der', 'en')))::BIGINT AS n_known, len(w)::BIGINT AS n_words FROM d")
+def segmentation_confidence(spark, sf_dir):
+    w = t.words(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", F.size(F.filter(w, lambda x: F.lower(x).isin("the", "of", "and", "que", "der", "en"))).cast("long").alias("n_known"), F.size(w).cast("long").alias("n_words"))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, i::INTEGER AS start, array_to_string(w[i + 1:i + 3], ' ') AS gram FROM (SELECT doc_id, w[:20] AS w FROM d) x, LATERAL (SELECT unnest(range(0, len(x.w) - 2)) AS i) WHERE len(x.w) >= 3")
+def ngram_windows(spark, sf_dir):
+    """Windows of three words over the first twenty of a page."""
+    rows = documents(spark, sf_dir).select("doc_id", F.slice(t.words(F.col("text")), 1, 20).alias("w")).where(F.size("w") >= 3)
+    return rows.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 3)).alias("start")).select("doc_id", "start", F.array_join(F.slice("w", F.col("start") + 1, F.lit(3)), " ").alias("gram"))
+
+
+@query("SELECT conv_id AS doc_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def text_in_order(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(1).alias("page"), F.col("turn").alias("ord"), "text")
+    return layout.joined(rows, F.col("ord")).select("doc_id", "text")
+
+
+# -- repair (Python by document; tests compare them with plain searches) ---------------------------------------------
+
+
+def _cut(spark, sf_dir, begin=False):
+    """Snippets of every document that stop, or start, within a word; the document itself is the reference text."""
+    w = t.words(F.col("text"))
+    d = documents(spark, sf_dir).select("doc_id", F.array_join(w, " ").alias("text"), w.alias("w")).where(F.size("w") >= 12)
+    part = F.array_join(F.slice("w", 3, 8), " ")
+    cut = F.substr(part, F.lit(3)) if begin else F.substr(part, F.lit(1), F.length(part) - 2)
+    return d.select("doc_id", cut.alias("snippet")), d.select("doc_id", "text")
+
+
+@query()
+def complete_last_word(spark, sf_dir):
+    return repair.complete_last_words(*_cut(spark, sf_dir))
+
+
+@query()
+def complete_first_word(spark, sf_dir):
+    return repair.complete_first_words(*_cut(spark, sf_dir, begin=True))
+
+
+@query()
+def anchor_correct(spark, sf_dir):
+    s, d = _cut(spark, sf_dir)
+    return repair.correct_from_anchors(s, d).select("doc_id", "snippet", "corrected.*")
+
+
+@query()
+def fuzzy_match(spark, sf_dir):
+    """The first eight words of each page's text, run together, against all its windows."""
+    flat = html_docs(spark, sf_dir).select("doc_id", t.html_for_matching(F.col("html")).alias("text"))
+    s = flat.select("doc_id", F.array_join(F.slice(t.words(F.col("text")), 5, 8), "").alias("snippet")).where("snippet <> ''")
+    return repair.fuzzy_match(s, flat).select("doc_id", "snippet", "match.*")
+
+
+@query()
+def segment_words(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", t.last_words(t.words(F.col("text")), 6).alias("s"))
+    return rows.select("doc_id", repair.segment_words(F.col("s"), SMALL).alias("r")).select("doc_id", "r.*")
+
+
+@query()
+def extract_with_html(spark, sf_dir):
+    """Extraction repaired against each page's own HTML."""
+    h = html_docs(spark, sf_dir)
+    p = h.select("doc_id", F.lit(1).alias("page"), t.html_for_matching(F.col("html")).alias("text"))
+    return ex.extract(p, Options(), h)
+
+
+# -- layout, over spans made from lineitem ---------------------------------------------------------------------------
+
+
+def spans(spark, sf_dir):
+    q = F.col("l_quantity")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("doc_id"), (F.col("l_partkey") % 5).cast("int").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
+        (q * 10).alias("x0"), (q * 10 + 30).alias("x1"), ((F.col("l_orderkey") % 80) * 10).cast("double").alias("y1"), (F.col("l_tax") * 100 + 4).alias("size"),
+        F.concat("l_returnflag", F.col("l_linenumber").cast("string"), F.when(F.col("l_linenumber") == 3, " .").otherwise("")).alias("text"), F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"),
+    )
+
+
+SPANS = "WITH s AS (SELECT l_suppkey AS doc_id, (l_partkey % 5)::INTEGER AS page, l_orderkey * 10 + l_linenumber AS ord, l_quantity * 10 AS x0, l_quantity * 10 + 30 AS x1, ((l_orderkey % 80) * 10)::DOUBLE AS y1, l_tax * 100 + 4 AS size, l_returnflag || l_linenumber || CASE WHEN l_linenumber = 3 THEN ' .' ELSE '' END AS text FROM lineitem) "
+TIGHT = rf"regexp_replace(string_agg(text, ' ' ORDER BY %s), '{WS}+([.,;:!?·])', '\1', 'g') AS text"
+
+
+@query(SPANS + f"SELECT doc_id, page, {TIGHT % 'y1, ord'} FROM s WHERE size >= 8.5 GROUP BY doc_id, page")
+def font_filter(spark, sf_dir):
+    return layout.body_by_font(spans(spark, sf_dir))
+
+
+@query(SPANS + f"SELECT doc_id, page, {TIGHT % 'CASE WHEN (x0 + x1) / 2 < 300 THEN 0 ELSE 1 END, y1, x0, ord'} FROM s WHERE y1 <= 600 GROUP BY doc_id, page")
+def two_column_order(spark, sf_dir):
+    return layout.two_column_body(spans(spark, sf_dir))
+
+
+@query(SPANS + f"SELECT doc_id, page, {TIGHT % 'CASE WHEN (x0 + x1) / 2 < 300 THEN 0 ELSE 1 END, y1, x0, ord'} FROM s WHERE y1 <= 600 AND size >= 8.5 GROUP BY doc_id, page")
+def two_column_font(spark, sf_dir):
+    return layout.two_column_body(spans(spark, sf_dir), min_size=8.5)
+
+
+@query(SPANS + "SELECT doc_id, page, ord FROM s WHERE y1 <= 600")
+def footnote_zone(spark, sf_dir):
+    return layout.in_body(spans(spark, sf_dir)).select("doc_id", "page", "ord")
+
+
+@query(SPANS + ", k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y1 DESC, ord) AS k FROM s) SELECT doc_id, page, string_agg(text, ' ' ORDER BY y1, x0, k) AS text FROM k WHERE k <= 10 GROUP BY doc_id, page")
+def bottom_words(spark, sf_dir):
+    return layout.bottom_words(spans(spark, sf_dir).withColumnRenamed("y1", "top"))
+
+
+@query(SPANS + "SELECT doc_id, page, arg_max(text, {'y': y1, 'o': -ord}) AS text FROM s GROUP BY doc_id, page")
+def bottom_block(spark, sf_dir):
+    return layout.bottom_block(spans(spark, sf_dir).withColumnRenamed("y1", "y0"))
