@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, types as T
 
 from pagewright.llm.arrays import steps
 from pagewright.llm.pretokens import cuts, distinct, strings
+from pagewright.llm.tables import mapped
 
 STEP, CACHE, LONG = 512 << 10, 1 << 18, 128
 
@@ -154,7 +155,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str,
                 arrays = [pa.ListArray.from_arrays(pa.array(n.astype(np.int32)), pa.array(ids))] + ([pa.array(c.decode(n, ids), pa.binary())] if decoded else [])
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *arrays], names=[*(f.name for f in kept), *(m.name for m in made)])
 
-    return docs.mapInArrow(run, T.StructType(kept + made))
+    return docs.transform(mapped, run, T.StructType(kept + made))
 
 
 def bpe_decode(coded: DataFrame, path: str) -> DataFrame:
@@ -177,4 +178,4 @@ def bpe_decode(coded: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(c.decode(at, flat.to_numpy()), pa.binary())], names=[*(f.name for f in kept), "decoded"])
                 i = j
 
-    return coded.mapInArrow(run, T.StructType([*kept, T.StructField("decoded", T.BinaryType())]))
+    return coded.transform(mapped, run, T.StructType([*kept, T.StructField("decoded", T.BinaryType())]))

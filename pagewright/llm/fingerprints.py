@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from pagewright.llm.arrays import Texts, mix, shingles, steps
-from pagewright.llm.tables import parts, text_bytes
+from pagewright.llm.tables import mapped, parts, text_bytes
 
 BINS, BITS, SHINGLE, TRIES = 256, 8, 5, 4096
 MOST_BUCKETS = 10_000
@@ -81,7 +81,7 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
                 part = b.slice(t.first, t.count)
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(packed(*fingerprints(t)), pa.string())], names=[*(f.name for f in kept), "fingerprint"])
 
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField("fingerprint", T.StringType())]))
+    return docs.transform(mapped, run, T.StructType([*kept, T.StructField("fingerprint", T.StringType())]))
 
 
 def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -155,4 +155,4 @@ def edited_pairs(docs: DataFrame, text: str = "text", step: int = 512 << 10) ->
         if len(texts) > 1:
             yield made(ids, texts)
 
-    return with_next(docs, text).mapInArrow(run, kind)
+    return with_next(docs, text).transform(mapped, run, kind)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagewright.llm.arrays import Texts, mix, shingles, steps
 from pagewright.llm.components import components
-from pagewright.llm.tables import checkpoint
+from pagewright.llm.tables import checkpoint, mapped
 
 COORDINATES, BANDS, ROWS, BITS, SPARE, SLACK = 256, 30, 5, 8, 3.0, 0.04
 BUCKET = 1024
@@ -139,7 +139,7 @@ def signature_table(docs: DataFrame, size: int = 5) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("same"), part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[some].ravel())), pa.array([x.tobytes() for x in ids.astype(np.uint8)], pa.binary())], names=["same", "doc_id", "keys", "sig"])
 
-    every = _hashed(docs).mapInArrow(run, "same binary, doc_id long, keys array<long>, sig binary")
+    every = _hashed(docs).transform(mapped, run, "same binary, doc_id long, keys array<long>, sig binary")
     return every.groupBy("same").agg(F.min(F.struct("doc_id", "keys", "sig")).alias("x")).select("same", "x.*")
 
 
@@ -170,7 +170,7 @@ def _level(rows: DataFrame, least: float) -> DataFrame:
         if len(ids) > 1:
             yield said(now, ids, sigs)
 
-    return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "doc_id").mapInArrow(run, "a long, b long, bucket long")
+    return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "doc_id").transform(mapped, run, "a long, b long, bucket long")
 
 
 def links(table: DataFrame, least: float) -> DataFrame:

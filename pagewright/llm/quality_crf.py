@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from pagewright.llm.arrays import Texts, steps, sums
 from pagewright.llm.quality_rules import SYMBOLS, later_equals, worded_lines
+from pagewright.llm.tables import mapped
 
 OWN = ("words", "symbols", "marks", "upper", "digits", "repeats", "word_length", "dup", "stop")
 #: One constant, the line's own numbers, those of its neighbours, and whether it has neighbours.
@@ -170,7 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 3000, text: str = "tex
                 cells = [(ids[t.first + i], label[t.first + i], x[at[i] : at[i + 1]].astype(np.float32).tobytes(), size[at[i] : at[i + 1]].astype(np.int64).tobytes()) for i in range(t.count)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*cells, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "quality", "x", "size"])
 
-    got = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x binary, size binary").toPandas()
+    got = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").transform(mapped, run, "doc_id long, quality int, x binary, size binary").toPandas()
     got = got.sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
     if not len(got):
         return Model(np.zeros(N_FEATURES), np.zeros((2, 2)), 0.0, 0.0)
@@ -192,4 +193,4 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3, text: str =
                 part = b.slice(t.first, t.count)
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*(f.name for f in kept), "score", "predicted"])
 
-    return docs.mapInArrow(run, T.StructType(kept + made))
+    return docs.transform(mapped, run, T.StructType(kept + made))

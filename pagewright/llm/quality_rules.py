@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from pagewright.llm.arrays import Runs, Texts, characters, mix, steps, sums, windows
+from pagewright.llm.tables import mapped
 
 SYMBOLS = np.zeros(256, np.int64)
 SYMBOLS[list(b"#*$%&|<>")] = 1
@@ -203,4 +204,4 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[
                 part = b.slice(t.first, t.count)
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *arrays], names=[*(f.name for f in kept), *(f.name for f in made)])
 
-    return docs.select(*(f.name for f in kept)).mapInArrow(run, T.StructType(kept + made))
+    return docs.select(*(f.name for f in kept)).transform(mapped, run, T.StructType(kept + made))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from pagewright.llm.arrays import Runs, Texts, steps, windows
-from pagewright.llm.tables import parts, text_bytes
+from pagewright.llm.tables import mapped, parts, text_bytes
 
 ANCHOR = 5
 FLUSH = 1 << 18
@@ -111,7 +111,7 @@ def _index(docs: DataFrame, window: int, blocks: int) -> DataFrame:
         if n:
             yield from rows(np.concatenate(held))
 
-    return docs.mapInArrow(run, "block int, anchor binary, phrase binary, doc binary, number binary")
+    return docs.transform(mapped, run, "block int, anchor binary, phrase binary, doc binary, number binary")
 
 
 def _flags(index: DataFrame, blocks: int) -> DataFrame:
@@ -163,8 +163,8 @@ def _flags(index: DataFrame, blocks: int) -> DataFrame:
         if held:
             yield from judged(np.concatenate(held))
 
-    met = index.where("block >= 0").repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(blockwise, kind)
-    return met.unionByName(index.where("block < 0").mapInArrow(settled, kind))
+    met = index.where("block >= 0").repartition(blocks, "block").sortWithinPartitions("block").transform(mapped, blockwise, kind)
+    return met.unionByName(index.where("block < 0").transform(mapped, settled, kind))
 
 
 def _positions(flags: np.ndarray | None, p: Phrases, i: int, odd: bool) -> np.ndarray:
@@ -192,7 +192,7 @@ def _windows(flagged: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(p.runs.of(at, at + window).view(np.int64)), pa.array(ids[t.first + doc]), pa.array(at - t.word_at[:-1][doc])], names=["hash", "doc_id", "at"])
 
     # no filter and no narrower selection here: so the texts are dealt out once for this and for the last join
-    return flagged.mapInArrow(run, "hash long, doc_id long, at long")
+    return flagged.transform(mapped, run, "hash long, doc_id long, at long")
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, joined: bool = False) -> DataFrame:
@@ -250,4 +250,4 @@ def substring_dedup(docs: DataFrame, window: int = 13, joined: bool = False) ->
                 column = lambda f: pa.array(texts, pa.binary()).cast(pa.string()) if f.name == "text" else part.column(f.name)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([*(column(f) for f in kept), pa.array(t.n_words), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=[*(f.name for f in kept), "n_words", "n_removed", "spans"])
 
-    return flagged.join(found, "doc_id", "left").mapInArrow(run, T.StructType(kept + made))
+    return flagged.join(found, "doc_id", "left").transform(mapped, run, T.StructType(kept + made))

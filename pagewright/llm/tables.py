@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Text of one task of the operators that deal rows out anew.
 TASK_BYTES = 16 << 20
+BATCH_ROWS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,6 +38,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def mapped(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow() in batches of at most BATCH_ROWS rows, so a batch of long texts is small next to a worker's memory.
+
+    The size is a setting of the session; a smaller one stays.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df.mapInArrow(run, schema)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts: one scan that adds up a number per task."""
     return docs.agg(F.sum(F.octet_length(column).cast("long")).alias("n")).first()["n"] or 0

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from pagewright.llm.arrays import steps, sums
 from pagewright.llm.pretokens import cuts, distinct, strings
+from pagewright.llm.tables import mapped
 
 STEP, CACHE = 1 << 20, 1 << 19
 SLOTS, PROBES, SAMPLE = 1 << 17, 4, 500
@@ -78,7 +79,7 @@ def frequent(docs: DataFrame, path: str, text: str = "text", rows: int = SAMPLE,
             yield pa.RecordBatch.from_arrays([pa.array(t.slice_hashes(t.offsets[:-1], t.offsets[1:]).view(np.int64)), pa.array(lib.counts(top), pa.int64())], names=["hash", "n"])
 
     slots, n = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
-    sample = docs.select(F.col(text).alias("text")).sample(0.1, seed).limit(rows).coalesce(1).mapInArrow(run, "hash long, n long").toArrow()
+    sample = docs.select(F.col(text).alias("text")).sample(0.1, seed).limit(rows).coalesce(1).transform(mapped, run, "hash long, n long").toArrow()
     for h, k in zip(sample["hash"].to_numpy().view(np.uint64), sample["n"].to_numpy(), strict=True):
         for i in range(PROBES):
             at = (int(h) + i) % SLOTS
@@ -113,4 +114,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, text: str = "tex
                 part = b.slice(t.first, t.count)
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(np.diff(t.offsets)), pa.array(tokens), pa.array(tokens > limit)], names=[*(f.name for f in kept), *(m.name for m in made)])
 
-    return docs.mapInArrow(run, T.StructType(kept + made))
+    return docs.transform(mapped, run, T.StructType(kept + made))

@@ -30,7 +30,7 @@ from urllib.parse import quote, urlsplit
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pagewright.llm.tables import checkpoint, shared_folder
+from pagewright.llm.tables import checkpoint, mapped, shared_folder
 
 #: Fixed values of the ZIP format.
 END, END64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -210,7 +210,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
         if held:
             yield write()
 
-    return checkpoint(decided(pages, least).mapInArrow(run, "archive string, n_records long"))
+    return checkpoint(decided(pages, least).transform(mapped, run, "archive string, n_records long"))
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -237,4 +237,4 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, kind)
 
-    return archives.select("archive").mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary").select(*names)
+    return archives.select("archive").transform(mapped, run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary").select(*names)
