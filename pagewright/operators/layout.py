@@ -45,4 +45,4 @@ def bottom_words(words: DataFrame, n: int = 10) -> DataFrame:
 
 def bottom_block(blocks: DataFrame) -> DataFrame:
     """The text of the block of each page that starts lowest; of several the first."""
-    return blocks.groupBy(*PAGE).agg(F.max_by("text", F.struct("y0", -F.col("ord"))).alias("text"))
+    return blocks.groupBy(*PAGE).agg(F.max_by("text", F.struct("y0", -F.col("ord"), "text")).alias("text"))

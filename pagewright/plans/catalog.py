@@ -522,17 +522,17 @@ SPANS = "WITH s AS (SELECT l_suppkey AS doc_id, (l_partkey % 5)::INTEGER AS page
 TIGHT = rf"regexp_replace(string_agg(text, ' ' ORDER BY %s), '{WS}+([.,;:!?·])', '\1', 'g') AS text"
 
 
-@query(SPANS + f"SELECT doc_id, page, {TIGHT % 'y1, ord'} FROM s WHERE size >= 8.5 GROUP BY doc_id, page")
+@query(SPANS + f"SELECT doc_id, page, {TIGHT % 'y1, ord, text'} FROM s WHERE size >= 8.5 GROUP BY doc_id, page")
 def font_filter(spark, sf_dir):
     return layout.body_by_font(spans(spark, sf_dir))
 
 
-@query(SPANS + f"SELECT doc_id, page, {TIGHT % 'CASE WHEN (x0 + x1) / 2 < 300 THEN 0 ELSE 1 END, y1, x0, ord'} FROM s WHERE y1 <= 600 GROUP BY doc_id, page")
+@query(SPANS + f"SELECT doc_id, page, {TIGHT % 'CASE WHEN (x0 + x1) / 2 < 300 THEN 0 ELSE 1 END, y1, x0, ord, text'} FROM s WHERE y1 <= 600 GROUP BY doc_id, page")
 def two_column_order(spark, sf_dir):
     return layout.two_column_body(spans(spark, sf_dir))
 
 
-@query(SPANS + f"SELECT doc_id, page, {TIGHT % 'CASE WHEN (x0 + x1) / 2 < 300 THEN 0 ELSE 1 END, y1, x0, ord'} FROM s WHERE y1 <= 600 AND size >= 8.5 GROUP BY doc_id, page")
+@query(SPANS + f"SELECT doc_id, page, {TIGHT % 'CASE WHEN (x0 + x1) / 2 < 300 THEN 0 ELSE 1 END, y1, x0, ord, text'} FROM s WHERE y1 <= 600 AND size >= 8.5 GROUP BY doc_id, page")
 def two_column_font(spark, sf_dir):
     return layout.two_column_body(spans(spark, sf_dir), min_size=8.5)
 
@@ -547,6 +547,6 @@ def bottom_words(spark, sf_dir):
     return layout.bottom_words(spans(spark, sf_dir).withColumnRenamed("y1", "top"))
 
 
-@query(SPANS + "SELECT doc_id, page, arg_max(text, {'y': y1, 'o': -ord}) AS text FROM s GROUP BY doc_id, page")
+@query(SPANS + "SELECT doc_id, page, arg_max(text, {'y': y1, 'o': -ord, 't': text}) AS text FROM s GROUP BY doc_id, page")
 def bottom_block(spark, sf_dir):
     return layout.bottom_block(spans(spark, sf_dir).withColumnRenamed("y1", "y0"))
