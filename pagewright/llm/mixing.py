@@ -116,6 +116,7 @@ def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = 3) -> DataFrame:
     """The rows of docs, each as often as it is drawn. Rows with equal doc_id and source are drawn as one."""
     units = sizes(docs).groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
-    drawn = draws(units, weights, share, most).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), "copies")
+    drawn = draws(units, weights, share, most).where("copies > 0")
+    drawn = drawn.select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("_each"))
     on = docs["doc_id"].eqNullSafe(drawn["_id"]) & docs["source"].eqNullSafe(drawn["_of"])
-    return docs.join(drawn, on).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(docs[c] for c in docs.columns))
+    return docs.join(drawn, on).select(*(docs[c] for c in docs.columns), F.explode(drawn["_each"]).alias("_n")).select(*docs.columns)
