@@ -27,7 +27,7 @@ from pagewright.llm.arrays import steps
 from pagewright.llm.pretokens import cuts, distinct, strings
 from pagewright.llm.tables import mapped
 
-STEP, CACHE, LONG = 512 << 10, 1 << 18, 128
+STEP, CACHE, LONG = 512 << 10, 1 << 17, 128
 
 ENCODE = """
 WITH RECURSIVE t(step, word, pos, token) AS (
@@ -62,7 +62,7 @@ class Coder:
                     merged.append(r)
         self.merges = dict(zip(pairs, merged, strict=True))
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.duck = duckdb.connect(config={"threads": 1, "memory_limit": "128MB", "temp_directory": os.path.join(os.environ.get("TMPDIR", "/tmp"), f"duckdb-{os.getpid()}")})
+        self.duck = duckdb.connect(config={"threads": 1, "memory_limit": "96MB", "temp_directory": os.path.join(os.environ.get("TMPDIR", "/tmp"), f"duckdb-{os.getpid()}")})
         joined = pa.table({"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int64())})  # noqa: F841
         self.duck.execute("CREATE TABLE merges AS SELECT * FROM joined")
         # a byte is shown as a character from U+0100 on: one each, and none is special to SQL

@@ -19,7 +19,7 @@ repeats of a phrase among themselves, so a passage that a third of all rows shar
 number with the corpus, not in size.
 
 Nulls and empty texts have no words and nothing to remove. Rows with equal ids count as one document: none of them is
-"smaller", so they remove nothing from each other. An empty table gives an empty result. Other columns pass through;
+"smaller", so they remove nothing from each other. Rows without an id stay as they are and are no reference. An empty table gives an empty result. Other columns pass through;
 columns made here replace input columns of the same name.
 """
 
@@ -83,7 +83,7 @@ def _settle(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _index(docs: DataFrame, window: int, blocks: int) -> DataFrame:
-    """Rows (block, entries); block -1 has what is settled already."""
+    """Rows (block, entries). Rows without anchors have what is settled already; they go along to any block."""
 
     def rows(e: np.ndarray) -> Iterator[pa.RecordBatch]:
         done, e = _settle(e)
@@ -91,9 +91,11 @@ def _index(docs: DataFrame, window: int, blocks: int) -> DataFrame:
         order = np.lexsort((e["number"], e["doc"], block))
         e, block = e[order], block[order]
         at = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(e) else np.zeros(0, int)
-        cells = [(int(block[i]), e[i:j]) for i, j in zip(at, [*at[1:], len(e)], strict=True)] + [(-1, done)] * bool(len(done))
+        cells = [(int(block[i]), *(e[c][i:j].tobytes() for c in ENTRY.names)) for i, j in zip(at, [*at[1:], len(e)], strict=True)]
+        if len(done):
+            cells.append((int(done["doc"][0] % blocks), b"", b"", done["doc"].tobytes(), done["number"].tobytes()))
         # columns, not records, lie together: ids repeat, so they shrink to little when Spark compresses its blocks
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in cells], pa.int32()), *(pa.array([x[c].tobytes() for _, x in cells], pa.binary()) for c in ENTRY.names)], names=["block", *ENTRY.names])
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*cells, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["block", *ENTRY.names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -144,17 +146,14 @@ def _flags(index: DataFrame, blocks: int) -> DataFrame:
         yield from out(e["doc"][known], 2 * e["number"][known].astype(np.int64))
         yield from out(e["doc"][boundary], 2 * e["number"][boundary].astype(np.int64) + 1)
 
-    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                e = entries(b, i)
-                yield from out(e["doc"], 2 * e["number"].astype(np.int64))
-
     def blockwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for b in batches:
             block = b.column("block").to_numpy()
             for i in range(b.num_rows):
+                if not len(b.column("anchor")[i].as_py()):
+                    yield from out(np.frombuffer(b.column("doc")[i].as_py(), np.int64), 2 * np.frombuffer(b.column("number")[i].as_py(), np.uint32).astype(np.int64))
+                    continue
                 if block[i] != now and held:
                     yield from judged(np.concatenate(held))
                     held = []
@@ -163,8 +162,7 @@ def _flags(index: DataFrame, blocks: int) -> DataFrame:
         if held:
             yield from judged(np.concatenate(held))
 
-    met = index.where("block >= 0").repartition(blocks, "block").sortWithinPartitions("block").transform(mapped, blockwise, kind)
-    return met.unionByName(index.where("block < 0").transform(mapped, settled, kind))
+    return index.repartition(blocks, "block").sortWithinPartitions("block").transform(mapped, blockwise, kind)
 
 
 def _positions(flags: np.ndarray | None, p: Phrases, i: int, odd: bool) -> np.ndarray:
@@ -179,7 +177,7 @@ def _windows(flagged: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, flags = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("flags")
+            ids, flags = b.column("doc_id").fill_null(0).to_numpy(), b.column("flags")
             for t in steps(b.column("text")):
                 p = Phrases(t, window)
                 if not any(flags[t.first + i].is_valid for i in range(t.count)):
@@ -205,7 +203,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, joined: bool = False) ->
     made = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
     kept = [f for f in docs.schema.fields if f.name not in {"n_words", "n_removed", "spans", "flags", "found"}]
     docs = docs.select(*(f.name for f in kept))
-    flags = _flags(_index(docs.select("doc_id", "text"), window, blocks), blocks).groupBy("doc_id").agg(F.collect_list("flag").alias("flags"))
+    flags = _flags(_index(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), window, blocks), blocks).groupBy("doc_id").agg(F.collect_list("flag").alias("flags"))
     flagged = docs.join(flags, "doc_id", "left")
     boundary = _windows(flagged, window)
     first = boundary.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash", "least")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -41,12 +43,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def mapped(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
     """df.mapInArrow() in batches of at most BATCH_ROWS rows, so a batch of long texts is small next to a worker's memory.
 
-    The size is a setting of the session; a smaller one stays.
+    The size is a setting of the session; a smaller one stays. Workers live on after a task, so each gives back at its
+    end what it no longer uses.
     """
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Returns free memory of this process to the system, where the C library can."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
