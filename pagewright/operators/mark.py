@@ -185,7 +185,7 @@ def place(refs: DataFrame, html: DataFrame) -> DataFrame:
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = _records(left, Document(right["html"].iloc[0] if len(right) else ""))
         out = pd.DataFrame(rows, columns=names)
-        return out.astype({c: "Int32" for c in ("ord", "occurrence", "container_idx", "marker_pos", "last_container", "last_position")} | {"score": "float64"})
+        return out.astype({c: object for c in ("page", "snippet", "status", "context_status")}).where(out.notna(), None).astype({c: "Int32" for c in ("ord", "occurrence", "container_idx", "marker_pos", "last_container", "last_position")} | {"score": "float64"})
 
     return _refs(refs).groupBy("doc_id").cogroup(html.select("doc_id", "html").groupBy("doc_id")).applyInPandas(run, PLACED)
 

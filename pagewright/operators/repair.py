@@ -24,7 +24,7 @@ def by_document(snippets: DataFrame, texts: DataFrame, column: str, kind: str, m
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         text = right["text"].iloc[0] if len(right) and right["text"].iloc[0] is not None else None
         f = make(text) if text is not None else None
-        left[column] = [f(s) if f is not None and s is not None else None for s in left["snippet"]]
+        left[column] = pd.Series([f(s) if f is not None and isinstance(s, str) else None for s in left["snippet"]], index=left.index, dtype=object)
         return left[names]
 
     keep = snippets.drop(column)
