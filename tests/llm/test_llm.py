@@ -178,6 +178,18 @@ def test_large_buckets(spark, monkeypatch):
     assert {r["class_id"] for r in out} == {0} and len(out) == 40
 
 
+def test_large_bucket_of_unconnected_members(spark, monkeypatch):
+    """Pairs that share one bucket only, among members that nothing connects."""
+    monkeypatch.setattr(near_dedup, "BUCKET", 8)
+    rng = np.random.default_rng(7)
+    sig = rng.integers(0, 256, (160, near_dedup.COORDINATES), dtype=np.uint8)
+    sig[80:120] = sig[:40]
+    sig[80:120, :20] += 1
+    rows = [(i, [1], s.tobytes()) for i, s in enumerate(sig)]
+    found = near_dedup.links(spark.createDataFrame(rows, "doc_id long, keys array<long>, sig binary"), 0.76).collect()
+    assert {(min(r), max(r)) for r in found} == {(i, i + 80) for i in range(40)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(50, 51), (51, 52), (60, 60)]
     random.shuffle(edges)
