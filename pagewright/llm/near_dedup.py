@@ -13,11 +13,14 @@ yet connected is compared by all coordinates (BITS bits of each, corrected for c
 to the others, and only the links that connect are handed on: a row a member at most, never all pairs. A bucket of more
 than BUCKET members is dealt to blocks, which are searched like buckets. What is not connected then, in whatever bucket,
 is dealt to blocks again and every two blocks meet, so each pair of members of a bucket is connected or was compared: the
-work is the square of the members that stay unconnected. The links' connected components are the classes.
+work is the square of the members that stay unconnected.
 
-A link needs an estimated similarity of ``similarity - SLACK``: the estimate from 256 coordinates has a standard
-deviation of 0.025 at 0.8, so a pair of 0.8 is linked in 95 of 100 cases and one below 0.72 in 5 of 100. A pair of 0.8
-shares none of the 30 buckets in 1 of 150,000 cases.
+The estimate only finds candidates, from ``similarity - SLACK`` up; a link is a pair of which the texts themselves have
+a weighted Jaccard similarity of ``similarity`` or more. First the candidates that would connect a bucket are verified.
+Buckets in which one fails, and large ones, go on: each member names its NEAREST candidates that it is not connected
+with, then four times as many, and so on, until no bucket has more. The links' connected components are the classes, so
+no class holds together by a pair below ``similarity``. The estimate from 256 coordinates has a standard deviation of
+0.025 at 0.8, so a pair of 0.8 is no candidate in 1 of 30,000 cases; it shares none of the 30 buckets in 1 of 150,000.
 
 Null texts are empty. Texts without words, and texts too different from all others, are classes of their own, except
 that equal texts share one. Texts of one to four words have one shingle. Rows without a doc_id have no class. Rows of
@@ -37,8 +40,8 @@ from pagewright.llm.arrays import Texts, mix, shingles, steps
 from pagewright.llm.components import components
 from pagewright.llm.tables import checkpoint, mapped
 
-COORDINATES, BANDS, ROWS, BITS, SPARE, SLACK = 256, 30, 5, 8, 3.0, 0.04
-BUCKET = 1024
+COORDINATES, BANDS, ROWS, BITS, SPARE, SLACK = 256, 30, 5, 8, 3.0, 0.1
+BUCKET, NEAREST, LEAVES, SMALL = 1024, 8, 256, 200_000
 U = np.uint64
 
 
@@ -117,13 +120,28 @@ def connect(sig: np.ndarray, least: float, label: np.ndarray, side: np.ndarray)
         if not apart.any():
             break
         other = np.flatnonzero(apart & (side != side[p]))
-        near = other[similarity(sig[other], sig[p]) >= least]
+        alike = similarity(sig[other], sig[p])
+        near, alike = other[alike >= least], alike[alike >= least]
         for c in np.unique(label[near]):
-            found.append((int(p), int(near[label[near] == c][0])))
+            same = label[near] == c
+            found.append((int(p), int(near[same][alike[same].argmax()])))
         label[np.isin(label, label[near])] = label[p]
     return found
 
 
+def nearest(sig: np.ndarray, least: float, label: np.ndarray, side: np.ndarray, most: int) -> tuple[list[tuple[int, int]], bool]:
+    """The ``most`` nearest candidates of each member among those after it, without those of its label or side, and whether there are more."""
+    found, more = [], False
+    for p in range(len(sig) - 1):
+        other = p + 1 + np.flatnonzero((label[p + 1 :] != label[p]) & (side[p + 1 :] != side[p]))
+        alike = similarity(sig[other], sig[p])
+        near, alike = other[alike >= least], alike[alike >= least]
+        if len(near) > most:
+            near, more = near[np.argsort(-alike, kind="stable")[:most]], True
+        found += [(p, int(q)) for q in near]
+    return found, more
+
+
 def signature_table(docs: DataFrame, size: int = 5) -> DataFrame:
     """(same, doc_id, keys, sig) of one representative, the least doc_id, of each distinct text; same: its hash."""
 
@@ -145,14 +163,19 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select(F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("same"), "doc_id", text.alias("text"))
 
 
-def _met(rows: DataFrame, least: float) -> DataFrame:
-    """rows (bucket, x, y, side, doc_id, label, sig) to (a, b): links between the members of each (bucket, x, y); those of side null are all compared with each other."""
+def _met(rows: DataFrame, least: float, most: int | None = None) -> DataFrame:
+    """rows (bucket, x, y, side, doc_id, label, sig) to (bucket, a, b), candidates among the members of each (bucket, x, y); those of side null are all compared with each other.
+
+    Those that would connect them, or the ``most`` nearest of each member; a and b are null if there are more.
+    """
 
-    def said(rows: list[tuple]) -> pa.RecordBatch:
+    def said(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
         side, ids, label, sigs = zip(*rows, strict=True)
         sides = np.array([i if s is None else -1 - s for i, s in enumerate(side)])
-        found = connect(np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), -1), least, np.array(label), sides)
-        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[i] for _, i in found], pa.int64())], names=["a", "b"])
+        given = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), -1), least, np.array(label), sides
+        found, more = (connect(*given), False) if most is None else nearest(*given, most)
+        a, b = [min(ids[i], ids[k]) for i, k in found], [max(ids[i], ids[k]) for i, k in found]
+        return pa.RecordBatch.from_arrays([pa.array([bucket] * (len(a) + more), pa.int64()), pa.array(a + [None] * more, pa.int64()), pa.array(b + [None] * more, pa.int64())], names=["bucket", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -160,13 +183,13 @@ def _met(rows: DataFrame, least: float) -> DataFrame:
             for *key, side, doc, label, sig in zip(*(b.column(c).to_pylist() for c in ("bucket", "x", "y", "side", "doc_id", "label", "sig")), strict=True):
                 if key != now:
                     if len(held) > 1:
-                        yield said(held)
+                        yield said(now[0], held)
                     now, held = key, []
                 held.append((side, doc, label, sig))
         if len(held) > 1:
-            yield said(held)
+            yield said(now[0], held)
 
-    return rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "doc_id").transform(mapped, run, "a long, b long")
+    return rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "doc_id").transform(mapped, run, "bucket long, a long, b long")
 
 
 def _pairs_of_blocks(members: DataFrame, known: DataFrame) -> DataFrame:
@@ -191,26 +214,65 @@ def _pairs_of_blocks(members: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(sides, ["bucket", "block"]).select("bucket", "x", "y", "side", "doc_id", "label")
 
 
-def links(table: DataFrame, least: float) -> DataFrame:
-    """(a, b): links between representatives."""
+def verified(docs: DataFrame, pairs: DataFrame, similarity: float, size: int = 5) -> DataFrame:
+    """The pairs (a, b) of which the texts in docs have a weighted Jaccard similarity of ``similarity`` or more. Pairs of very many with one a are dealt to several tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first = None, []
+        for batch in batches:
+            a, part, b = (batch.column(c).to_pylist() for c in ("a", "part", "b"))
+            right = []
+            for t in steps(batch.column("text")):
+                element, doc = _elements(t, size)
+                element = element[np.lexsort((element, doc))]
+                at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=t.count))])
+                for i in range(t.count):
+                    k, e = t.first + i, element[at[i] : at[i + 1]]
+                    if (a[k], part[k]) != now:
+                        now, first = (a[k], part[k]), []
+                    if b[k] is not None:
+                        both = max((len(np.intersect1d(x, e, assume_unique=True)) / max(1, len(np.union1d(x, e))) for x in first), default=0)
+                        right += [k] * (both >= similarity)
+                    elif not any(np.array_equal(x, e) for x in first):
+                        first.append(e)
+            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in right], pa.int64()), pa.array([b[k] for k in right], pa.int64())], names=["a", "b"])
+
+    many = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / LEAVES)).alias("part"))
+    needs = dealt.select("a", "part", "b", F.col("b").alias("doc_id")).unionByName(dealt.select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id")).distinct())
+    if pairs.count() <= SMALL:
+        needs = F.broadcast(needs)
+    rows = _hashed(docs).join(needs, "doc_id").select("a", "part", "b", "text")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "b").transform(mapped, run, "a long, b long").distinct()
+
+
+def links(table: DataFrame, docs: DataFrame, similarity: float, size: int = 5) -> DataFrame:
+    """(a, b): verified links between representatives."""
+    least = similarity - SLACK
     keyed = table.select("doc_id", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.bit_xor(F.xxhash64("doc_id")).alias("members"), F.sum(F.hash("doc_id").cast("long")).alias("again")).where("n > 1")
     once = checkpoint(buckets.groupBy("n", "least", "members", "again").agg(F.min("key").alias("key")).select("key", "n"))
     sig = table.select("doc_id", "sig")
     block = F.pmod(F.xxhash64("doc_id", "key"), F.ceil(F.col("n") / BUCKET))
     rows = keyed.join(once, "key").select(F.col("key").alias("bucket"), block.alias("x"), block.alias("y"), F.lit(None).cast("int").alias("side"), "doc_id", F.col("doc_id").alias("label"))
-    found = _met(rows.join(sig, "doc_id"), least)
-    large = once.where(F.col("n") > BUCKET).select("key")
-    if large.isEmpty():
-        return found
-    found = checkpoint(found)
-    members = keyed.join(large, "key").select(F.col("key").alias("bucket"), "doc_id").distinct()
-    return found.unionByName(_met(_pairs_of_blocks(members, components(found)).join(sig, "doc_id"), least))
+    found = checkpoint(_met(rows.join(sig, "doc_id"), least))
+    tried = checkpoint(found.select("a", "b").where("a <> b").distinct())
+    right = checkpoint(verified(docs, tried, similarity, size))
+    large, failed = once.where(F.col("n") > BUCKET).select(F.col("key").alias("bucket")), found.where("a <> b").join(right, ["a", "b"], "left_anti").select("bucket")
+    open_, most = checkpoint(large.unionByName(failed).distinct()), NEAREST
+    while not open_.isEmpty():
+        members = keyed.withColumnRenamed("key", "bucket").join(open_, "bucket").select("bucket", "doc_id").distinct()
+        found = checkpoint(_met(_pairs_of_blocks(members, components(right)).join(sig, "doc_id"), least, most))
+        new = checkpoint(found.where("a <> b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(new)
+        right = checkpoint(right.unionByName(verified(docs, new, similarity, size)))
+        open_, most = checkpoint(found.where("a IS NULL").select("bucket").distinct()), 4 * most
+    return right
 
 
 def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """(doc_id, same_text_id, class_id) of each row of docs (doc_id, text) with an id; class_id is the least doc_id of the class."""
     table = checkpoint(signature_table(docs.select("doc_id", "text"), shingle))
-    found = components(links(table, similarity - SLACK))
+    found = components(links(table, docs, similarity, shingle))
     classes = table.select("same", F.col("doc_id").alias("same_text_id")).join(found, F.col("same_text_id") == F.col("node"), "left").select("same", "same_text_id", F.coalesce("component", "same_text_id").alias("class_id"))
     return _hashed(docs).select("same", "doc_id").join(classes, "same").select("doc_id", "same_text_id", "class_id")

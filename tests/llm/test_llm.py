@@ -181,15 +181,37 @@ def test_large_buckets(spark, monkeypatch):
 def test_large_bucket_of_unconnected_members(spark, monkeypatch):
     """Pairs that share one bucket only, among members that nothing connects."""
     monkeypatch.setattr(near_dedup, "BUCKET", 8)
+    monkeypatch.setattr(near_dedup, "verified", lambda docs, pairs, *_: pairs)
     rng = np.random.default_rng(7)
     sig = rng.integers(0, 256, (160, near_dedup.COORDINATES), dtype=np.uint8)
     sig[80:120] = sig[:40]
     sig[80:120, :20] += 1
     rows = [(i, [1], s.tobytes()) for i, s in enumerate(sig)]
-    found = near_dedup.links(spark.createDataFrame(rows, "doc_id long, keys array<long>, sig binary"), 0.76).collect()
+    found = near_dedup.links(spark.createDataFrame(rows, "doc_id long, keys array<long>, sig binary"), None, 0.8).collect()
     assert {(min(r), max(r)) for r in found} == {(i, i + 80) for i in range(40)}
 
 
+@pytest.mark.parametrize("nearest", [8, 1])
+def test_both_sides_of_the_limit(spark, monkeypatch, nearest):
+    """Classes are the components of the pairs of 0.8 and more; pairs just below, and chains of them, stay apart."""
+    monkeypatch.setattr(near_dedup, "NEAREST", nearest)
+    rows = {}
+    for k in range(24):
+        w = words(text(300, 900 + k))
+        rows |= {10 * k + i: " ".join([*w[: 300 - m], *words(text(m, 5000 + 10 * k + i))]) for i, m in enumerate([0, 31 + k % 6, 20 + 3 * (k % 8)])}
+    part = {a: a for a in rows}
+    limit = []
+    for a in rows:
+        for b in rows:
+            if a < b and a // 10 == b // 10:
+                limit.append(jaccard(rows[a], rows[b]))
+                if limit[-1] >= 0.8:
+                    part = {x: min(part[a], part[b]) if y in (part[a], part[b]) else y for x, y in part.items()}
+    assert sum(0.76 < j < 0.8 for j in limit) > 5 < sum(0.8 <= j < 0.84 for j in limit)
+    out = near_dedup.near_dedup(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in out} == part
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(50, 51), (51, 52), (60, 60)]
     random.shuffle(edges)
