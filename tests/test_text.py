@@ -91,3 +91,13 @@ def test_page_context(spark):
     got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, s string, b string, a string").select(t.page_context(F.col("t"), F.col("s")).alias("c"), "b", "a").collect()
     assert all((r["c"]["before"], r["c"]["after"]) == (r["b"], r["a"]) for r in got)
     assert tuple(spark.range(1).select(t.page_context(F.lit("a x b"), F.lit("x"), 0).alias("c")).first()["c"]) == ("", "")
+
+
+def test_windows_over_all_words(spark, tmp_path):
+    from pagewright.plans import catalog
+
+    rows = [(1, " ".join(f"w{i}" for i in range(50))), (2, "a b"), (3, "a  b\nc"), (4, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(d, i, " ".join(w[i : i + 3])) for d, x in rows for w in [(x or "").split()] for i in range(len(w) - 2)}
+    found = [tuple(r) for r in catalog.queries()["ngram_windows"](spark, str(tmp_path)).collect()]
+    assert len(found) == len(want) and set(found) == want
