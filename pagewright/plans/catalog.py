@@ -312,10 +312,10 @@ def best_match(spark, sf_dir):
 
 @query(f"WITH {DOCS}, n AS (SELECT doc_id, lead(text) OVER (ORDER BY doc_id) AS other, text FROM d) SELECT doc_id, {_jaccard('substring(text, 1, 200)', 'substring(other, 1, 200)')} AS score FROM n WHERE other IS NOT NULL".replace("lead(text) OVER (ORDER BY doc_id) AS other", "(SELECT max(text) FROM d e WHERE e.doc_id = d.doc_id + 1) AS other"))
 def jaccard_context(spark, sf_dir):
-    """The first 200 characters of each document and of the next."""
+    """The whole texts of each document and of the next. The SQL has their first 200 characters only."""
     d = documents(spark, sf_dir)
     n = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
-    return d.join(n, "doc_id").select("doc_id", t.jaccard(F.substring("text", 1, 200), F.substring("other", 1, 200)).alias("score"))
+    return d.join(n, "doc_id").select("doc_id", t.jaccard(F.col("text"), F.col("other")).alias("score"))
 
 
 @query(TURNS.replace("WITH c AS", "WITH RECURSIVE c AS") + """, last AS (SELECT doc_id, max(ord) AS last FROM r GROUP BY doc_id),

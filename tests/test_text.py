@@ -101,3 +101,13 @@ def test_windows_over_all_words(spark, tmp_path):
     want = {(d, i, " ".join(w[i : i + 3])) for d, x in rows for w in [(x or "").split()] for i in range(len(w) - 2)}
     found = [tuple(r) for r in catalog.queries()["ngram_windows"](spark, str(tmp_path)).collect()]
     assert len(found) == len(want) and set(found) == want
+
+
+def test_jaccard_of_whole_texts(spark, tmp_path):
+    from pagewright.plans import catalog
+
+    same = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, same + " x y"), (2, same + " x z"), (3, None), (5, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["score"] for r in catalog.queries()["jaccard_context"](spark, str(tmp_path)).collect()}
+    assert found.keys() == {1, 2} and abs(found[1] - 101 / 103) < 1e-12 and found[2] == 0
