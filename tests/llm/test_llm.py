@@ -320,6 +320,30 @@ def test_bpe(spark, docs, empty):
     assert bpe_encode(empty, path).count() == 0
 
 
+def test_bpe_generations_and_slices(monkeypatch):
+    """Small caches, few words a query, and texts that reach over several slices; pieces of all lengths with repeats and ties."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    from pagewright.llm import byte_bpe
+
+    for name, value in (("CACHE", 50), ("WORDS", 7), ("SLICE", 10)):
+        monkeypatch.setattr(byte_bpe, name, value)
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    c, rng = byte_bpe.Coder(path), random.Random(3)
+    for _ in range(4):
+        pieces = list(dict.fromkeys(["".join(rng.choices(letters, k=n)) for letters in ("ab", "=", "etaoin shrdlu"[:6], "中文é", "ab=") for n in (1, 2, 7, 30, 64, 65, 66, 200, 501)]))
+        pieces = [p for p in pieces if len(library._core_bpe.encode_ordinary(p)) and not re.search(r"[= ](?![= ])|(?<![= ])[= ]", p)]
+        at, ids = c.encode([p.encode() for p in pieces])
+        for i, p in enumerate(pieces):
+            assert ids[at[i] : at[i + 1]].tolist() == library._core_bpe.encode_single_piece(p.encode()), p
+        assert c.decode(at, ids) == [p.encode() for p in pieces]
+
+
 def test_token_counts(docs, empty):
     from tokenizers import Tokenizer
 
