@@ -7,7 +7,7 @@ which in UTF-8 is the same as ``[^\\x20\\x09-\\x0D]+`` over code points.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +17,9 @@ STEP = 256 << 10
 U64 = np.uint64
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
-_rng = np.random.Generator(np.random.PCG64(20240229))
-BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
-R_BYTE, R_WORD = 0x9E3779B97F4A7C15 | 5, 0xD1342543DE82EF95 | 5
+BLOCK = 512
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -31,24 +31,35 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-class _Powers:
-    """R**i and R**-i modulo 2**64, grown on demand."""
+def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each pair; the order counts. No sum of parts: every part goes through mix() before the next one meets it."""
+    return mix(mix(a + U64(0x9E3779B97F4A7C15)) + b)
 
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = 1 << max(12, (n - 1).bit_length())
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                a = np.full(size, b, U64)
-                a[0] = 1
-                setattr(self, name, np.multiply.accumulate(a))
-        return self.up[:n], self.down[:n]
+def chained(take: Callable[[np.ndarray, int], np.ndarray], count: np.ndarray) -> np.ndarray:
+    """A hash of each sequence of ``count`` numbers; take(which, k) gives the k-th number of some of them."""
+    h = mix(count.astype(U64) * U64(0xA24BAED4963EE407) + U64(0x8CB92BA72F3D8DD7))
+    live, k = np.flatnonzero(count > 0), 0
+    while len(live):
+        h[live] = combine(h[live], take(live, k))
+        k += 1
+        live = live[count[live] > k]
+    return h
 
 
-_BYTES, _WORDS = _Powers(R_BYTE), _Powers(R_WORD)
+def in_blocks(hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], starts: np.ndarray, ends: np.ndarray, block: int) -> np.ndarray:
+    """Hashes of ranges; one longer than ``block`` is the sequence of the hashes of its blocks, so no range takes more than that many steps."""
+    long = np.flatnonzero(ends - starts > block)
+    if not len(long):
+        return hashes(starts, ends)
+    n = -(-(ends[long] - starts[long]) // block)
+    first = np.cumsum(n) - n
+    a = (np.arange(n.sum()) - np.repeat(first, n)) * block + np.repeat(starts[long], n)
+    parts = hashes(a, np.minimum(a + block, np.repeat(ends[long], n)))
+    out, short = np.empty(len(starts), U64), ends - starts <= block
+    out[short] = hashes(starts[short], ends[short])
+    out[long] = mix(Runs(parts).of(first, first + n) ^ U64(0xE7037ED1A0B428DB))
+    return out
 
 
 class Texts:
@@ -56,10 +67,12 @@ class Texts:
 
     def __init__(self, first: int, data: np.ndarray, offsets: np.ndarray):
         self.first, self.data, self.offsets, self.count = first, data, offsets, len(offsets) - 1
-        self._prefix = None
+        self._lanes = self._words = None
 
     def words(self) -> None:
         """Sets starts, ends (bytes), word_at (first word of each text, and the number of words), doc (text of each word)."""
+        if "starts" in self.__dict__:
+            return
         n = len(self.data)
         inside = np.zeros(n + 2, bool)
         np.logical_not(BLANK[self.data], out=inside[1 : n + 1])
@@ -74,17 +87,28 @@ class Texts:
         self.doc = np.repeat(np.arange(self.count), self.n_words)
 
     def slice_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each slice of bytes."""
-        n = len(self.data)
-        up, down = _BYTES.upto(n + 1)
-        if self._prefix is None:
-            self._prefix = np.zeros(n + 1, U64)
-            np.cumsum(BYTE_VALUE[self.data] * up[:n], out=self._prefix[1:])
-        h = (self._prefix[ends] - self._prefix[starts]) * down[starts]
-        return mix(h + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
+        """A 64-bit hash of each slice of bytes: its length, and its bytes eight at a time."""
+        if self._lanes is None:
+            padded = np.zeros(len(self.data) + 8, np.uint8)
+            padded[: len(self.data)] = self.data
+            self._lanes = np.ndarray((len(self.data) + 1,), "<u8", buffer=padded, strides=(1,))
+
+        def of(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+            size = ends - starts
+            return mix(chained(lambda i, k: self._lanes[starts[i] + 8 * k] & FIRST[np.minimum(size[i] - 8 * k, 8)], (size + 7) >> 3) + size.astype(U64))
+
+        return in_blocks(of, starts, ends, 8 * BLOCK)
+
+    def first_bytes(self, starts: np.ndarray, ends: np.ndarray, skip: int = 0) -> np.ndarray:
+        """Up to eight bytes of each slice from ``skip`` on, as a number; 0 stands for what is not there."""
+        self.slice_hashes(starts[:0], ends[:0])
+        return self._lanes[np.minimum(starts + skip, len(self.data))] & FIRST[np.clip(ends - starts - skip, 0, 8)]
 
     def word_hashes(self) -> np.ndarray:
-        return self.slice_hashes(self.starts, self.ends)
+        if self._words is None:
+            self.words()
+            self._words = self.slice_hashes(self.starts, self.ends)
+        return self._words
 
     def texts(self) -> list[bytes]:
         raw = self.data.tobytes()
@@ -95,19 +119,20 @@ class Runs:
     """Hashes of runs of consecutive words, from the hashes of the words."""
 
     def __init__(self, words: np.ndarray):
-        n = len(words)
-        up, self.down = _WORDS.upto(n + 1)
-        self.prefix = np.zeros(n + 1, U64)
-        np.cumsum(words * up[:n], out=self.prefix[1:])
+        self.words = words
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.prefix[ends] - self.prefix[starts]) * self.down[starts] + (ends - starts).astype(U64) * U64(0x8CB92BA72F3D8DD7))
+        return in_blocks(lambda a, b: chained(lambda i, k: self.words[a[i] + k], b - a), starts, ends, BLOCK)
 
     def every(self, size: int) -> np.ndarray:
-        """Of the run of ``size`` words from each word on, as far as there are so many."""
-        n = max(0, len(self.prefix) - size)
-        a = np.arange(n)
-        return self.of(a, a + size)
+        """Of the run of ``size`` words from each word on, as far as there are so many; of halves of halves, the last two overlapping."""
+        h, width = self.words, 1
+        while 2 * width <= size:
+            h = combine(h[: max(0, len(h) - width)], h[width:])
+            width *= 2
+        if width < size:
+            h = combine(h[: max(0, len(h) - (size - width))], h[size - width :])
+        return h
 
 
 def windows(word_at: np.ndarray, n_words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,4 +182,4 @@ def shingles(t: Texts, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     runs = Runs(t.word_hashes())
     at, doc = windows(t.word_at, t.n_words, size)
     short = np.flatnonzero((t.n_words > 0) & (t.n_words < size))
-    return np.concatenate([runs.of(at, at + size), runs.of(t.word_at[:-1][short], t.word_at[1:][short])]), np.concatenate([doc, short])
+    return np.concatenate([runs.every(size)[at], runs.of(t.word_at[:-1][short], t.word_at[1:][short])]), np.concatenate([doc, short])

@@ -78,7 +78,7 @@ def n_dup_lines(t: Texts) -> np.ndarray:
 
 def n_repeat_words(t: Texts) -> np.ndarray:
     at, doc = windows(t.word_at, t.n_words, RUN)
-    h = mix(Runs(t.word_hashes()).of(at, at + RUN) ^ mix(doc.astype(np.uint64) + np.uint64(1)))
+    h = mix(Runs(t.word_hashes()).every(RUN)[at] ^ mix(doc.astype(np.uint64) + np.uint64(1)))
     order = np.argsort(h)
     same = h[order][1:] == h[order][:-1]
     twice = np.zeros(len(h), bool)

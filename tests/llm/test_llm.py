@@ -33,9 +33,16 @@ def words(s):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", s or "") if w]
 
 
+def thue_morse(n, a, b):
+    """Two sequences of n parts that sums of powers modulo 2**64 cannot tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return [(a, b)[x] for x in bits], [(b, a)[x] for x in bits]
+
+
+ONE, OTHER = ("".join(x) for x in thue_morse(1024, "a", "b"))
 LONG = text(30_000, 1)
 SHARED = text(60, 2)
-EDGE = [None, "", " \n\t ", "one", "a b c d", "x " * 200, "\x00 \x1c 　 \x85 é", "😀 naïve 中文" * 20, LONG, "\n".join(["same line here"] * 9), "<|endoftext|> x<|endoftext|>", "!" * 300]
+EDGE = [None, "", " \n\t ", "one", "a b c d", "x " * 200, "\x00 \x1c 　 \x85 é", "😀 naïve 中文" * 20, LONG, "\n".join(["same line here"] * 9), "<|endoftext|> x<|endoftext|>", "!" * 300, f"one {ONE} two\n{OTHER}\n", f"{OTHER}\n{ONE} two one", " ".join([ONE, *"abcdefghijkl", OTHER]), " ".join([OTHER, *"abcdefghijkl", ONE])]
 
 
 @pytest.fixture(scope="session")
@@ -60,6 +67,31 @@ def clash(docs, *names):
     return docs.withColumns({n: F.lit("mine") for n in names})
 
 
+def test_hashes():
+    """Equal slices and runs have equal hashes wherever they stand; different ones don't: lengths around a lane and a block, zeros, sums of powers."""
+    import pyarrow as pa
+
+    from pagewright.llm.arrays import Runs, steps
+
+    rng = random.Random(8)
+    parts = ["", "a", "a\0", "\0", "\0\0", ONE, OTHER, ONE[:512], OTHER[:512], *("".join(rng.choices("ab", k=n)) for n in (7, 8, 9, 15, 16, 17, 4095, 4096, 4097, 9000) for _ in range(3))]
+    order = parts + parts[::-1]
+    t = next(steps(pa.array(order), 1 << 30))
+    h = t.slice_hashes(t.offsets[:-1], t.offsets[1:]).tolist()
+    assert h[: len(parts)] == h[len(parts) :][::-1] and len(set(h)) == len(set(parts))
+    a, b = thue_morse(1024, 5, 9)
+    words = np.array([*a, *b, *a, *[7] * 3000], np.uint64)
+    runs = Runs(words)
+    of = runs.of(np.array([0, 1024, 2048, 3072, 3073, 3072]), np.array([1024, 2048, 3072, 5000, 5001, 5001])).tolist()
+    assert of[0] == of[2] != of[1] and of[3] == of[4] != of[5]
+    for size in (1, 2, 3, 5, 8, 13):
+        every = runs.every(size)
+        same = {}
+        for i in range(len(words) - size + 1):
+            same.setdefault(tuple(words[i : i + size].tolist()), set()).add(int(every[i]))
+        assert len(every) == len(words) - size + 1 and all(len(x) == 1 for x in same.values()) and len(set().union(*same.values())) == len(same)
+
+
 # -- 1 ---------------------------------------------------------------------------------------------------------------
 
 
