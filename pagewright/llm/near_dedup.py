@@ -8,19 +8,23 @@ each coordinate. Two documents agree on a coordinate with the probability of the
 work follows the number of darts, not weight times coordinates. If a coordinate stays empty, the rank is doubled.
 
 Bands of ROWS coordinates are bucket keys. Equal texts are one representative from the start, so groups of copies cost a
-row each in one aggregation. Buckets with the same members are kept once. In a bucket every pair of members that is not
-yet connected is compared by all coordinates (BITS bits of each, corrected for chance), starting from the member closest
-to the others, and only the links that connect are handed on: a row a member at most, never all pairs. A bucket of more
-than BUCKET members is dealt to blocks, which are searched like buckets. What is not connected then, in whatever bucket,
-is dealt to blocks again and every two blocks meet, so each pair of members of a bucket is connected or was compared: the
-work is the square of the members that stay unconnected.
-
-The estimate only finds candidates, from ``similarity - SLACK`` up; a link is a pair of which the texts themselves have
-a weighted Jaccard similarity of ``similarity`` or more. First the candidates that would connect a bucket are verified.
-Buckets in which one fails, and large ones, go on: each member names its NEAREST candidates that it is not connected
-with, then four times as many, and so on, until no bucket has more. The links' connected components are the classes, so
-no class holds together by a pair below ``similarity``. The estimate from 256 coordinates has a standard deviation of
-0.025 at 0.8, so a pair of 0.8 is no candidate in 1 of 30,000 cases; it shares none of the 30 buckets in 1 of 150,000.
+row each in one aggregation. Buckets with the same members are kept once. The estimate from all coordinates (BITS bits of
+each, corrected for chance) only finds candidates, from ``similarity - SLACK`` up; a link is a pair of which the texts
+themselves have a weighted Jaccard similarity of ``similarity`` or more.
+
+1. In each bucket, or block of BUCKET of its members, every member not yet connected is compared with the most central one
+   and so on, by signatures alone. The candidates that would connect the bucket, a row a member at most, are verified on
+   their texts, and what is verified makes the first components.
+2. Buckets in which a candidate failed, and those of several blocks, are searched in full: their members come with the
+   hashes of their elements, and every two that are not connected yet meet once, in a block or between two blocks. What
+   the estimate lets pass is verified there and then, so again only links that connect are handed on, never pairs. A
+   component of more than BUCKET members has blocks of its own, which do not meet each other: the work is the square of the
+   members that stay unconnected, times the size of the large components around them. Blocks hold members by the size of
+   their texts, so long texts make more blocks, not larger ones.
+
+The links' connected components are the classes, so no class holds together by a pair below ``similarity``. The estimate
+from 256 coordinates has a standard deviation of 0.025 at 0.8, so a pair of 0.8 is no candidate in 1 of 30,000 cases; it
+shares none of the 30 buckets in 1 of 150,000.
 
 Null texts are empty. Texts without words, and texts too different from all others, are classes of their own, except
 that equal texts share one. Texts of one to four words have one shingle. Rows without a doc_id have no class. Rows of
@@ -41,7 +45,7 @@ from pagewright.llm.components import components
 from pagewright.llm.tables import checkpoint, mapped
 
 COORDINATES, BANDS, ROWS, BITS, SPARE, SLACK = 256, 30, 5, 8, 3.0, 0.1
-BUCKET, NEAREST, LEAVES, SMALL = 1024, 8, 256, 200_000
+BUCKET, HEAVY, LEAVES, SMALL = 1024, 16 << 10, 256, 200_000
 U = np.uint64
 
 
@@ -129,17 +133,25 @@ def connect(sig: np.ndarray, least: float, label: np.ndarray, side: np.ndarray)
     return found
 
 
-def nearest(sig: np.ndarray, least: float, label: np.ndarray, side: np.ndarray, most: int) -> tuple[list[tuple[int, int]], bool]:
-    """The ``most`` nearest candidates of each member among those after it, without those of its label or side, and whether there are more."""
-    found, more = [], False
+def exact(a: np.ndarray, b: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two sets of elements, sorted and distinct."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def connect_exactly(sig: np.ndarray, elements: list[np.ndarray], limit: float, label: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """Links of ``limit`` or more that connect the members of different sides, verified. Every pair that they leave unconnected was compared."""
+    label, size, found = label.copy(), np.array([len(e) for e in elements]), []
     for p in range(len(sig) - 1):
         other = p + 1 + np.flatnonzero((label[p + 1 :] != label[p]) & (side[p + 1 :] != side[p]))
+        other = other[np.minimum(size[other], size[p]) >= limit * np.maximum(size[other], size[p])]
         alike = similarity(sig[other], sig[p])
-        near, alike = other[alike >= least], alike[alike >= least]
-        if len(near) > most:
-            near, more = near[np.argsort(-alike, kind="stable")[:most]], True
-        found += [(p, int(q)) for q in near]
-    return found, more
+        near = alike >= limit - SLACK
+        for q in other[near][np.argsort(-alike[near], kind="stable")].tolist():
+            if label[q] != label[p] and exact(elements[p], elements[q]) >= limit:
+                found.append((p, q))
+                label[label == label[q]] = label[p]
+    return found
 
 
 def signature_table(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -163,43 +175,59 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select(F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("same"), "doc_id", text.alias("text"))
 
 
-def _met(rows: DataFrame, least: float, most: int | None = None) -> DataFrame:
-    """rows (bucket, x, y, side, doc_id, label, sig) to (bucket, a, b), candidates among the members of each (bucket, x, y); those of side null are all compared with each other.
+def _met(rows: DataFrame, limit: float, exactly: bool = False) -> DataFrame:
+    """rows (bucket, x, y, side, doc_id, label, sig) to links (bucket, a, b) among the members of each (bucket, x, y); those of side null are all compared with each other.
 
-    Those that would connect them, or the ``most`` nearest of each member; a and b are null if there are more.
+    By the estimate, or ``exactly``: then rows have elements as well.
     """
+    columns = ["bucket", "x", "y", "side", "doc_id", "label", "sig", *["elements"] * exactly]
 
     def said(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
-        side, ids, label, sigs = zip(*rows, strict=True)
+        side, ids, label, sigs, *elements = zip(*rows, strict=True)
         sides = np.array([i if s is None else -1 - s for i, s in enumerate(side)])
-        given = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), -1), least, np.array(label), sides
-        found, more = (connect(*given), False) if most is None else nearest(*given, most)
+        sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), -1)
+        found = connect_exactly(sig, [np.frombuffer(e, U) for e in elements[0]], limit, np.array(label), sides) if exactly else connect(sig, limit - SLACK, np.array(label), sides)
         a, b = [min(ids[i], ids[k]) for i, k in found], [max(ids[i], ids[k]) for i, k in found]
-        return pa.RecordBatch.from_arrays([pa.array([bucket] * (len(a) + more), pa.int64()), pa.array(a + [None] * more, pa.int64()), pa.array(b + [None] * more, pa.int64())], names=["bucket", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([bucket] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["bucket", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for b in batches:
-            for *key, side, doc, label, sig in zip(*(b.column(c).to_pylist() for c in ("bucket", "x", "y", "side", "doc_id", "label", "sig")), strict=True):
-                if key != now:
+            for bucket, x, y, *member in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
+                if (bucket, x, y) != now:
                     if len(held) > 1:
                         yield said(now[0], held)
-                    now, held = key, []
-                held.append((side, doc, label, sig))
+                    now, held = (bucket, x, y), []
+                held.append(tuple(member))
         if len(held) > 1:
             yield said(now[0], held)
 
-    return rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "doc_id").transform(mapped, run, "bucket long, a long, b long")
+    return rows.select(*columns).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "doc_id").transform(mapped, run, "bucket long, a long, b long")
+
+
+def _with_elements(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(doc_id, elements): the sorted hashes of the elements of each document in wanted (same, doc_id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in steps(b.column("text")):
+                element, doc = _elements(t, size)
+                element = element[np.lexsort((element, doc))]
+                at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=t.count))])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(t.first, t.count), pa.array([element[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())], names=["doc_id", "elements"])
+
+    found = _hashed(docs).join(wanted, ["same", "doc_id"], "left_semi").select("doc_id", "text")
+    return found.transform(mapped, run, "doc_id long, elements binary").dropDuplicates(["doc_id"])
 
 
 def _pairs_of_blocks(members: DataFrame, known: DataFrame) -> DataFrame:
-    """members (bucket, doc_id) and known (node, component) to rows of _met() in which every two members of a bucket that are not connected meet.
+    """members (bucket, doc_id, weight) and known (node, component) to rows of _met() in which every two members of a bucket that are not connected meet.
 
-    Members are dealt to blocks of about BUCKET, and each block meets itself and each other one. A component of more than
-    BUCKET members in the bucket has blocks of its own, which do not meet each other.
+    Members are dealt to blocks of a weight of about BUCKET, and each block meets itself and each other one. A component
+    above that in the bucket has blocks of its own, which do not meet each other.
     """
-    rows = members.join(known, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    labels = rows.groupBy("bucket", "label").agg(F.count("*").alias("m"))
+    rows = members.join(known, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "weight", F.coalesce("component", "doc_id").alias("label"))
+    labels = rows.groupBy("bucket", "label").agg(F.sum("weight").alias("m"))
     apart = labels.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     labels = labels.join(apart, "bucket").select("bucket", "label", "m", F.when(F.col("m") > BUCKET, F.col("label")).alias("own"))
     blocks = labels.groupBy("bucket", "own").agg(F.ceil(F.sum("m") / BUCKET).alias("k"))
@@ -231,8 +259,7 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float, size: int = 5
                     if (a[k], part[k]) != now:
                         now, first = (a[k], part[k]), []
                     if b[k] is not None:
-                        both = max((len(np.intersect1d(x, e, assume_unique=True)) / max(1, len(np.union1d(x, e))) for x in first), default=0)
-                        right += [k] * (both >= similarity)
+                        right += [k] * (max((exact(x, e) for x in first), default=0) >= similarity)
                     elif not any(np.array_equal(x, e) for x in first):
                         first.append(e)
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in right], pa.int64()), pa.array([b[k] for k in right], pa.int64())], names=["a", "b"])
@@ -248,26 +275,24 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float, size: int = 5
 
 def links(table: DataFrame, docs: DataFrame, similarity: float, size: int = 5) -> DataFrame:
     """(a, b): verified links between representatives."""
-    least = similarity - SLACK
     keyed = table.select("doc_id", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.bit_xor(F.xxhash64("doc_id")).alias("members"), F.sum(F.hash("doc_id").cast("long")).alias("again")).where("n > 1")
     once = checkpoint(buckets.groupBy("n", "least", "members", "again").agg(F.min("key").alias("key")).select("key", "n"))
     sig = table.select("doc_id", "sig")
     block = F.pmod(F.xxhash64("doc_id", "key"), F.ceil(F.col("n") / BUCKET))
     rows = keyed.join(once, "key").select(F.col("key").alias("bucket"), block.alias("x"), block.alias("y"), F.lit(None).cast("int").alias("side"), "doc_id", F.col("doc_id").alias("label"))
-    found = checkpoint(_met(rows.join(sig, "doc_id"), least))
-    tried = checkpoint(found.select("a", "b").where("a <> b").distinct())
-    right = checkpoint(verified(docs, tried, similarity, size))
-    large, failed = once.where(F.col("n") > BUCKET).select(F.col("key").alias("bucket")), found.where("a <> b").join(right, ["a", "b"], "left_anti").select("bucket")
-    open_, most = checkpoint(large.unionByName(failed).distinct()), NEAREST
-    while not open_.isEmpty():
-        members = keyed.withColumnRenamed("key", "bucket").join(open_, "bucket").select("bucket", "doc_id").distinct()
-        found = checkpoint(_met(_pairs_of_blocks(members, components(right)).join(sig, "doc_id"), least, most))
-        new = checkpoint(found.where("a <> b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(new)
-        right = checkpoint(right.unionByName(verified(docs, new, similarity, size)))
-        open_, most = checkpoint(found.where("a IS NULL").select("bucket").distinct()), 4 * most
-    return right
+    found = checkpoint(_met(rows.join(sig, "doc_id"), similarity))
+    right = checkpoint(verified(docs, found.select("a", "b").distinct(), similarity, size))
+    large, failed = once.where(F.col("n") > BUCKET).select(F.col("key").alias("bucket")), found.join(right, ["a", "b"], "left_anti").select("bucket")
+    open_ = large.unionByName(failed).distinct()
+    members = checkpoint(keyed.withColumnRenamed("key", "bucket").join(open_, "bucket").select("bucket", "doc_id").distinct())
+    if members.isEmpty():
+        return right
+    wanted = members.select("doc_id").distinct().join(table.select("same", "doc_id"), "doc_id")
+    elements = checkpoint(_with_elements(docs, wanted, size).join(sig, "doc_id"))
+    weighed = members.join(elements.select("doc_id", (1 + F.octet_length("elements") / HEAVY).alias("weight")), "doc_id")
+    rest = _met(_pairs_of_blocks(weighed, components(right)).join(elements, "doc_id"), similarity, exactly=True)
+    return checkpoint(right.unionByName(rest.select("a", "b").distinct()))
 
 
 def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
