@@ -216,6 +216,8 @@ def _with_elements(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=t.count))])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(t.first, t.count), pa.array([element[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())], names=["doc_id", "elements"])
 
+    if wanted.count() <= SMALL:
+        wanted = F.broadcast(wanted)
     found = _hashed(docs).join(wanted, ["same", "doc_id"], "left_semi").select("doc_id", "text")
     return found.transform(mapped, run, "doc_id long, elements binary").dropDuplicates(["doc_id"])
 
@@ -279,13 +281,13 @@ def links(table: DataFrame, docs: DataFrame, similarity: float, size: int = 5) -
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.bit_xor(F.xxhash64("doc_id")).alias("members"), F.sum(F.hash("doc_id").cast("long")).alias("again")).where("n > 1")
     once = checkpoint(buckets.groupBy("n", "least", "members", "again").agg(F.min("key").alias("key")).select("key", "n"))
     sig = table.select("doc_id", "sig")
-    block = F.pmod(F.xxhash64("doc_id", "key"), F.ceil(F.col("n") / BUCKET))
-    rows = keyed.join(once, "key").select(F.col("key").alias("bucket"), block.alias("x"), block.alias("y"), F.lit(None).cast("int").alias("side"), "doc_id", F.col("doc_id").alias("label"))
+    every = checkpoint(keyed.join(once, "key").select(F.col("key").alias("bucket"), "doc_id", "n"))
+    block = F.pmod(F.xxhash64("doc_id", "bucket"), F.ceil(F.col("n") / BUCKET))
+    rows = every.select("bucket", block.alias("x"), block.alias("y"), F.lit(None).cast("int").alias("side"), "doc_id", F.col("doc_id").alias("label"))
     found = checkpoint(_met(rows.join(sig, "doc_id"), similarity))
     right = checkpoint(verified(docs, found.select("a", "b").distinct(), similarity, size))
     large, failed = once.where(F.col("n") > BUCKET).select(F.col("key").alias("bucket")), found.join(right, ["a", "b"], "left_anti").select("bucket")
-    open_ = large.unionByName(failed).distinct()
-    members = checkpoint(keyed.withColumnRenamed("key", "bucket").join(open_, "bucket").select("bucket", "doc_id").distinct())
+    members = checkpoint(every.join(large.unionByName(failed).distinct(), "bucket").select("bucket", "doc_id"))
     if members.isEmpty():
         return right
     wanted = members.select("doc_id").distinct().join(table.select("same", "doc_id"), "doc_id")
