@@ -246,11 +246,16 @@ def test_both_sides_of_the_limit(spark, monkeypatch, bucket, heavy):
     assert {r["doc_id"]: r["class_id"] for r in out} == part
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(30)] + [(50, 51), (51, 52), (60, 60)]
-    random.shuffle(edges)
-    out = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert out == {i: 0 for i in range(31)} | {50: 50, 51: 50, 52: 50}
+@pytest.mark.parametrize("edges", [1 << 20, 5, 20])
+def test_components(spark, monkeypatch, edges):
+    from pagewright.llm import components as module
+
+    monkeypatch.setattr(module, "EDGES", edges)
+    rows = [(i, i + 1) for i in range(30)] + [(50, 51), (51, 52), (60, 60), (50, 51), (52, 51)] + [(70 + i % 7, 70 + i % 5) for i in range(40)]
+    random.Random(2).shuffle(rows)
+    out = {r["node"]: r["component"] for r in components(spark.createDataFrame(rows, "a long, b long").repartition(4)).collect()}
+    assert out == {i: 0 for i in range(31)} | {50: 50, 51: 50, 52: 50} | {70 + i: 70 for i in range(7)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 # -- 4 ---------------------------------------------------------------------------------------------------------------
