@@ -57,6 +57,14 @@ def mapped(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFram
     return df.mapInArrow(tidy, schema)
 
 
+def sampled(df: DataFrame, run: Callable, schema: str | T.StructType, tasks: int) -> list:
+    """At most ``tasks`` rows of mapped(df, run, schema), where run() reads a bounded head of its partition and gives one row.
+
+    take() asks one partition, then a few more until it has enough, so the cost doesn't grow with the table.
+    """
+    return mapped(df, run, schema).take(tasks)
+
+
 def give_back() -> None:
     """Returns free memory of this process to the system, where the C library can."""
     import pyarrow

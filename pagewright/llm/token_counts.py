@@ -1,12 +1,14 @@
 """Token counts by a two-tier lookup on the map side.
 
-Tier one is a compact open-addressing table of the frequent pre-tokens: a 64-bit hash and a number of tokens per slot,
-at most SLOTS slots whatever the corpus, so it can be broadcast. It is filled from a bounded sample of rows and looked
-up for a whole batch at once. What it misses goes to tier two, a cache in the worker, and what that misses is encoded by
-the library itself. No pre-token is ever shuffled. The sample decides what is fast, never a count.
+Tier one is a compact open-addressing table of the frequent pre-tokens of up to KEY bytes: the bytes themselves, their
+number and the number of tokens per slot, SLOTS slots whatever the corpus, so it can be broadcast. Bytes are compared, so
+equal hashes mislead nobody. It is filled from the first ROWS rows of a few partitions (a bounded cost) and looked up for
+a whole batch at once. What it misses goes to tier two, a cache of two generations in the worker, and what that misses is
+encoded by the library itself. No pre-token is ever shuffled. The sample decides what is fast, never a count.
 
 The library's special strings inside texts are one token each, as it counts them by default. Null texts are empty: no
-bytes, no tokens. Other columns pass through; n_bytes, n_tokens and over_limit replace input columns of these names.
+bytes, no tokens. Repeated rows get equal counts; an empty table gives an empty result; a very long text is a step of its
+own. Other columns pass through; n_bytes, n_tokens and over_limit replace input columns of these names.
 """
 
 from __future__ import annotations
@@ -20,12 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from pagewright.llm.arrays import steps, sums
+from pagewright.llm.arrays import Texts, combine, steps, sums
 from pagewright.llm.pretokens import cuts, distinct, strings
-from pagewright.llm.tables import mapped
+from pagewright.llm.tables import mapped, sampled
 
-STEP, CACHE = 1 << 20, 1 << 19
-SLOTS, PROBES, SAMPLE = 1 << 17, 4, 500
+STEP, CACHE = 1 << 20, 1 << 18
+SLOTS, PROBES, KEY, ROWS, TASKS = 1 << 17, 4, 16, 125, 4
 
 
 class Library:
@@ -45,16 +47,26 @@ class Library:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, int] = {}
+        self.young: dict[bytes, int] = {}
+        self.old: dict[bytes, int] = {}
+
+    def _keep(self, piece: bytes, n: int) -> int:
+        if len(self.young) >= CACHE:
+            self.old, self.young = self.young, {}
+        self.young[piece] = n
+        return n
 
     def counts(self, pieces: list[bytes]) -> list[int]:
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = pieces
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-            self.known[p] = len(e)
-        return [self.known[p] for p in pieces]
+        """Of each of the pieces, which are distinct."""
+        out = [self.young.get(p) for p in pieces]
+        for i in [i for i, n in enumerate(out) if n is None and pieces[i] in self.old]:
+            out[i] = self.old.get(pieces[i])
+            if out[i] is not None:
+                self._keep(pieces[i], out[i])
+        new = [i for i, n in enumerate(out) if n is None]
+        for i, e in zip(new, self.tokenizer.encode_batch_fast([pieces[i].decode() for i in new], add_special_tokens=False), strict=True):
+            out[i] = self._keep(pieces[i], len(e))
+        return out
 
 
 @functools.lru_cache(1)
@@ -62,31 +74,43 @@ def library(path: str) -> Library:
     return Library(path)
 
 
-def frequent(docs: DataFrame, path: str, text: str = "text", rows: int = SAMPLE, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Tier one: slots of hashes (0: free) and of token counts."""
+def keys(t: Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The first and the second eight bytes of each slice, its size, and its first slot."""
+    a, b, size = t.first_bytes(starts, ends), t.first_bytes(starts, ends, 8), ends - starts
+    return a, b, size, (combine(a, b ^ size.astype(np.uint64)) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def frequent(docs: DataFrame, path: str, text: str = "text") -> tuple[np.ndarray, ...]:
+    """Tier one: of each slot the first and the second eight bytes, the size (0: free) and the number of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib = library(path)
-        found: Counter = Counter()
+        lib, found, left = library(path), Counter(), ROWS
         for b in batches:
-            for t in steps(b.column("text"), STEP):
+            for t in steps(b.column("text").slice(0, left), STEP):
                 pieces, which = distinct(strings(t, cuts(t, lib.specials)))
-                found.update(dict(zip(pieces, np.bincount(which, minlength=len(pieces)).tolist(), strict=True)))
-        top = [p for p, _ in found.most_common(SLOTS // 4)]
-        if top:
-            column = pa.array(top, pa.binary())
-            t = next(steps(column, 1 << 40, 1 << 40))
-            yield pa.RecordBatch.from_arrays([pa.array(t.slice_hashes(t.offsets[:-1], t.offsets[1:]).view(np.int64)), pa.array(lib.counts(top), pa.int64())], names=["hash", "n"])
-
-    slots, n = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
-    sample = docs.select(F.col(text).alias("text")).sample(0.1, seed).limit(rows).coalesce(1).transform(mapped, run, "hash long, n long").toArrow()
-    for h, k in zip(sample["hash"].to_numpy().view(np.uint64), sample["n"].to_numpy(), strict=True):
-        for i in range(PROBES):
-            at = (int(h) + i) % SLOTS
-            if not slots[at]:
-                slots[at], n[at] = h, k
+                found.update({p: n for p, n in zip(pieces, np.bincount(which, minlength=len(pieces)).tolist(), strict=True) if len(p) <= KEY})
+            left -= b.num_rows
+            if left <= 0:
                 break
-    return slots, n
+        if found:
+            top = found.most_common(SLOTS // 4)
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in ([p for p, _ in top], [n for _, n in top], lib.counts([p for p, _ in top]))], names=["piece", "seen", "n"])
+
+    seen, tokens = Counter(), {}
+    for r in sampled(docs.select(F.col(text).alias("text")), run, "piece array<binary>, seen array<long>, n array<long>", TASKS):
+        pieces = [bytes(p) for p in r["piece"]]
+        seen.update(dict(zip(pieces, r["seen"], strict=True)))
+        tokens |= dict(zip(pieces, r["n"], strict=True))
+    first, second, size, n = (np.zeros(SLOTS, k) for k in (np.uint64, np.uint64, np.int64, np.int64))
+    top = [p for p, _ in seen.most_common(SLOTS // 4)]
+    for t in steps(pa.array(top, pa.binary()), 1 << 30, 1 << 30):
+        a, b, length, slot = keys(t, t.offsets[:-1], t.offsets[1:])
+        for i, p in enumerate(top):
+            for at in range(slot[i], slot[i] + PROBES):
+                if not size[at % SLOTS]:
+                    first[at % SLOTS], second[at % SLOTS], size[at % SLOTS], n[at % SLOTS] = a[i], b[i], length[i], tokens[p]
+                    break
+    return first, second, size, n
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -96,15 +120,15 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, text: str = "tex
     table = docs.sparkSession.sparkContext.broadcast(frequent(docs, path, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib, (slots, known) = library(path), table.value
+        lib, (first, second, length, known) = library(path), table.value
         for b in batches:
             for t in steps(b.column(text), STEP):
                 starts = cuts(t, lib.specials)
-                h = t.slice_hashes(starts, np.append(starts[1:], len(t.data))[: len(starts)])
-                n, missed = np.zeros(len(h), np.int64), np.ones(len(h), bool)
+                x, y, size, slot = keys(t, starts, np.append(starts[1:], len(t.data))[: len(starts)])
+                n, missed = np.zeros(len(starts), np.int64), np.ones(len(starts), bool)
                 for i in range(PROBES):
-                    at = ((h + np.uint64(i)) % np.uint64(SLOTS)).astype(np.int64)
-                    hit = missed & (slots[at] == h)
+                    at = (slot + i) % SLOTS
+                    hit = missed & (first[at] == x) & (second[at] == y) & (length[at] == size)
                     n[hit] = known[at[hit]]
                     missed &= ~hit
                 if missed.any():
