@@ -1,12 +1,14 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule rejects a text by numbers counted over the whole text. A bounded sample tells what each rule costs and how
-much it rejects; the cascade then asks the rules in order of rejection per cost, and each only about texts that all
-rules before it kept. The verdict is the conjunction of the rules, so the order changes the time and never the result.
+Every rule rejects a text by numbers counted over the whole text. Some of these are results and counted for every text;
+what a rule counts beyond them is its own cost. A bounded sample tells that cost, and which texts each rule rejects; the
+cascade then begins with the rule that rejects most per cost, goes on with the one that rejects most per cost of what is
+left, and so on. A rule's own numbers are counted only for texts that all rules before it kept. The verdict is the
+conjunction of the rules, so the order changes the time and never the result.
 
 Nulls and empty texts have no words: all counts are 0 and ``few_words`` rejects them. Rows are judged one by one, so
-repeated rows get equal verdicts; an empty table gives an empty result; other columns pass through, except that the
-columns made here replace input columns of the same name.
+repeated rows get equal verdicts; a very long text is a step of its own; an empty table gives an empty result; other
+columns pass through, except that the columns made here replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from pagewright.llm.arrays import Runs, Texts, characters, mix, steps, sums, windows
-from pagewright.llm.tables import mapped
+from pagewright.llm.tables import mapped, sampled
 
 SYMBOLS = np.zeros(256, np.int64)
 SYMBOLS[list(b"#*$%&|<>")] = 1
@@ -57,6 +59,7 @@ def lines(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def worded_lines(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    t.words()
     starts, ends, doc = lines(t)
     some = np.searchsorted(t.starts, ends) > np.searchsorted(t.starts, starts)
     return starts[some], ends[some], doc[some]
@@ -137,39 +140,71 @@ def counter(t: Texts, known: dict[str, np.ndarray] | None = None) -> Callable[[C
 
 
 def some(t: Texts, which: np.ndarray) -> Texts:
-    """The chosen texts alone, with their words."""
+    """The chosen texts alone."""
     a, b = t.offsets[:-1][which], t.offsets[1:][which]
-    out = Texts(0, np.concatenate([t.data[i:j] for i, j in zip(a, b, strict=True)] or [t.data[:0]]), np.concatenate([[0], np.cumsum(b - a)]))
-    out.words()
-    return out
+    return Texts(0, np.concatenate([t.data[i:j] for i, j in zip(a, b, strict=True)] or [t.data[:0]]), np.concatenate([[0], np.cumsum(b - a)]))
 
 
 def verdicts(t: Texts, rules: tuple[Rule, ...], alive: np.ndarray, known: dict[str, np.ndarray]) -> np.ndarray:
-    """Number of the first rule that rejects each text, -1 for none; asks only about those alive. known: what is counted already."""
-    first = np.full(t.count, -1)
-    left = np.flatnonzero(alive)
+    """Number of the first rule that rejects each text, -1 for none; asks only about those alive. known: what is counted already.
+
+    What a rule counts itself is counted for the texts that are left alone, copied together when much is gone.
+    """
+    first, left = np.full(t.count, -1), np.flatnonzero(alive)
+    size = np.diff(t.offsets)
     for k, rule in enumerate(rules):
         if not len(left):
             break
-        sub = t if len(left) == t.count else some(t, left)
-        bad = rule.rejects(counter(sub, {n: v[left] for n, v in known.items()}))
+
+        def count(f: Callable, left: np.ndarray = left) -> np.ndarray:
+            if f.__name__ not in known and 4 * size[left].sum() > 3 * len(t.data):
+                known[f.__name__] = np.asarray(f(t)).astype(np.int64)
+            return known[f.__name__][left] if f.__name__ in known else np.asarray(f(some(t, left))).astype(np.int64)
+
+        bad = rule.rejects(count)
         first[left[bad]] = k
         left = left[~bad]
     return first
 
 
-def order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", rows: int = 500, seed: int = 7) -> tuple[Rule, ...]:
-    """The rules by rejection per cost on at most ``rows`` sampled rows (fewer rows in the table: all of them)."""
-    sample = docs.select(F.col(text).alias("text")).sample(0.1, seed).limit(rows).toArrow()["text"].combine_chunks()
-    sample = sample.combine_chunks() if isinstance(sample, pa.ChunkedArray) else sample
-    took, hit = [0.0] * len(rules), [0] * len(rules)
-    for t in steps(sample):
-        t.words()
-        for k, rule in enumerate(rules):
-            began = time.perf_counter()
-            hit[k] += int(rule.rejects(counter(t)).sum())
-            took[k] += time.perf_counter() - began
-    return tuple(r for *_, r in sorted(((-hit[k] / max(took[k], 1e-9), k, r) for k, r in enumerate(rules)), key=lambda x: x[:2]))
+def order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, text: str = "text", rows: int = 125, tasks: int = 4) -> tuple[Rule, ...]:
+    """The rules by rejection per own cost of what the base and the rules before leave, on the first ``rows`` rows of ``tasks`` partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        took, hit, left = np.zeros(len(rules)), [], rows
+        for b in batches:
+            for t in steps(b.column("text").slice(0, left)):
+                known: dict[str, np.ndarray] = {}
+                t.words()
+                for f in COUNTS.values():
+                    counter(t, known)(f)
+                bad = [np.logical_or.reduce([np.zeros(t.count, bool), *(r.rejects(counter(t, dict(known))) for r in base)])]
+                for k, rule in enumerate(rules):
+                    began = time.perf_counter()
+                    bad.append(rule.rejects(counter(t, dict(known))))
+                    took[k] += time.perf_counter() - began
+                hit.append(np.stack(bad))
+            left -= b.num_rows
+            if left <= 0:
+                break
+        if hit:
+            yield pa.RecordBatch.from_arrays([pa.array([took.tobytes()], pa.binary()), pa.array([np.concatenate(hit, 1).tobytes()], pa.binary())], names=["took", "hit"])
+
+    got = sampled(docs.select(F.col(text).alias("text")), run, "took binary, hit binary", tasks)
+    took = sum((np.frombuffer(r["took"]) for r in got), np.zeros(len(rules)))
+    hit = np.concatenate([np.zeros((len(rules) + 1, 0), bool), *(np.frombuffer(r["hit"], bool).reshape(len(rules) + 1, -1) for r in got)], 1)
+    return ranked(rules, took, hit[1:], ~hit[0])
+
+
+def ranked(rules: tuple[Rule, ...], took: np.ndarray, hit: np.ndarray, alive: np.ndarray) -> tuple[Rule, ...]:
+    """The rules by rejection per cost of what is still alive; then by cost."""
+    out, rest, alive = [], list(range(len(rules))), alive.copy()
+    while rest:
+        k = min(rest, key=lambda k: (-(hit[k] & alive).sum() / max(took[k], 1e-9), took[k], k))
+        out.append(rules[k])
+        rest.remove(k)
+        alive &= ~hit[k]
+    return tuple(out)
 
 
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, text: str = "text", reason: bool = False) -> DataFrame:

@@ -118,6 +118,30 @@ def test_rules(docs, empty):
         if r["text"] and "###" in r["text"]:
             assert got["rejected_by"] == "symbols"
     assert quality_rules.quality_rules(empty, quality_rules.order(empty)).count() == 0
+    hit = np.array([[1, 1, 1, 0, 0], [1, 1, 0, 0, 0], [0, 0, 0, 1, 0], [0, 0, 0, 0, 0]], bool)
+    named = tuple(quality_rules.Rule(n, None) for n in "abcd")
+    rank = lambda took, alive: "".join(r.name for r in quality_rules.ranked(named, np.array(took), hit, np.array(alive, bool)))
+    assert rank([1.0, 0.1, 1.0, 2.0], [1] * 5) == "bacd"  # b is cheap; then a and c reject one text each
+    assert rank([1.0, 1.0, 1.0, 0.1], [1] * 5) == "acdb"  # what b rejects is gone after a
+    assert rank([1.0, 1.0, 1.0, 2.0], [0, 0, 0, 1, 1]) == "cabd"  # the base rejects what a and b would
+
+
+def test_rules_count_survivors_only(docs):
+    import pyarrow as pa
+
+    from pagewright.llm.arrays import steps
+
+    asked = []
+
+    def own(t):
+        asked.append(t.count)
+        return np.diff(t.offsets)
+
+    rules = (quality_rules.Rule("first", lambda n: n(quality_rules.n_words) > 2), quality_rules.Rule("own", lambda n: n(own) > 3))
+    t = next(steps(pa.array(["a b c d e f g", "abc", "abcd", "x y z q w e r t y"])))
+    t.words()
+    known = {"n_words": t.n_words}
+    assert quality_rules.verdicts(t, rules, np.ones(4, bool), known).tolist() == [0, -1, 1, 0] and asked == [2]
 
 
 # -- 2 ---------------------------------------------------------------------------------------------------------------
