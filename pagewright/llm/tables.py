@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import math
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -74,6 +74,14 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """The name, or one like it that no column has, in any case of letters."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken or f"{name}_of".lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts: one scan that adds up a number per task."""
     return docs.agg(F.sum(F.octet_length(column).cast("long")).alias("n")).first()["n"] or 0

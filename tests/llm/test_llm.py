@@ -516,12 +516,28 @@ def removed(rows, n=13):
     return sorted(out)
 
 
+def parsed(r, rows):
+    """Each factor is what stands at its place in an earlier document, is as long as it can be there, and they cover the spans."""
+    texts, own = {k: words(s) for k, s in rows}, words(next(s for k, s in rows if k == r["doc_id"]))
+    covered = set()
+    for i, f in enumerate(r["factors"]):
+        there, n = texts[f["doc_id"]], f["end"] - f["start"]
+        assert f["doc_id"] < r["doc_id"] and n >= 13 and own[f["start"] : f["end"]] == there[f["at"] : f["at"] + n]
+        if i and r["factors"][i - 1]["end"] - 12 == f["start"]:
+            before = r["factors"][i - 1]
+            assert (before["doc_id"], before["at"] + f["start"] - before["start"]) != (f["doc_id"], f["at"])
+        covered |= set(range(f["start"], f["end"]))
+    assert covered == {j for s in r["spans"] for j in range(s["start"], s["end"])}
+
+
 def test_substrings(spark, docs, empty):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    out = substring_dedup(clash(docs, "n_words", "flags"), joined=True).collect()
+    out = substring_dedup(clash(docs, "n_words", "flags", "found", "Flags_", "hash", "at", "source", "block"), joined=True).collect()
+    assert all(r["flags"] == r["found"] == r["Flags_"] == r["hash"] == r["at"] == r["source"] == "mine" for r in out)
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in out) == removed(rows)
     for r in out:
         assert sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] and all(s["end"] - s["start"] >= 13 for s in r["spans"])
+        parsed(r, rows)
     kept = by_id(substring_dedup(docs))
     for k, s in rows:
         assert words(kept[k]["text"]) == words(next(r["text"] for r in out if r["doc_id"] == k))
@@ -530,14 +546,33 @@ def test_substrings(spark, docs, empty):
     assert substring_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_substrings_of_few_words(spark, seed):
-    """Few distinct words: many anchors and windows meet at factor boundaries."""
+def test_substrings_of_equal_ids(spark):
+    """Rows of one id with different texts each lose what an earlier document has; rows without an id stay."""
+    a, b, c = (text(40, 60 + i) for i in range(3))
+    rows = [(1, a), (1, b), (2, f"{b} {c}"), (2, f"{c} {a}"), (2, c), (3, c), (None, a), (None, b)]
+    out = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out) == sorted([(1, a), (1, b), (2, c), (2, c), (2, c), (3, ""), (0, a), (0, b)])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_substrings_of_few_words(spark, monkeypatch, seed):
+    """Few distinct words: many anchors and windows meet at factor boundaries. With seeds 2 and 3 all anchors are hot, with 1 and 3 blocks are many."""
+    from pagewright.llm import substring_dedup as module
+
+    if seed in (2, 3):
+        monkeypatch.setattr(module, "SHARE", 0)
+        monkeypatch.setattr(module, "LEAST", 1)
+    if seed in (1, 3):
+        monkeypatch.setattr(module, "BLOCK_BYTES", 300)
+        monkeypatch.setattr(module, "PARTITIONS", 3)
     rng = random.Random(seed)
     lines = [[rng.choice("abc") for _ in range(rng.randint(13, 40))] for _ in range(6)]
     rows = [(i, " ".join(x for _ in range(rng.randint(0, 4)) for x in rng.choice(lines)[rng.randint(0, 8) :])) for i in rng.sample(range(90), 60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in substring_dedup(df, joined=True).collect()) == removed(rows)
+    out = substring_dedup(df, joined=True).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in out) == removed(rows)
+    for r in out:
+        parsed(r, rows)
 
 
 # -- pipeline --------------------------------------------------------------------------------------------------------
