@@ -31,6 +31,7 @@ columns pass through, whatever their names; columns made here replace input colu
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,9 +79,14 @@ class Phrases:
         self.begin, self.end, self.doc = at[first], at[last], doc[first]
         self.anchor = grams[anchor[first]]
         self.phrase = self.runs.of(self.begin, self.end + window)
-        self.place = self.begin - t.word_at[:-1][self.doc]
+        self.window, self.place = window, self.begin - t.word_at[:-1][self.doc]
         self.at = np.searchsorted(self.doc, np.arange(t.count + 1))
 
+    @functools.cached_property
+    def windows(self) -> np.ndarray:
+        """Hashes of all windows, by first word."""
+        return self.runs.every(self.window)
+
     def with_place(self, i: int, place: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of text i, the numbers of the phrases that begin at ``place`` and have the bits ``check``, and which of the given ones these are."""
         own = self.place[self.at[i] : self.at[i + 1]]
@@ -243,7 +249,7 @@ def _windows(flagged: DataFrame, window: int, doc_id: str, text: str, flags: str
                 size = p.end[n] - p.begin[n] + 1
                 at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(p.begin[n], size)
                 doc = np.repeat(p.doc[n], size)
-                yield pa.RecordBatch.from_arrays([pa.array(p.runs.every(window)[at].view(np.int64)), pa.array(ids[t.first + doc]), pa.array(at - t.word_at[:-1][doc])], names=["hash", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(p.windows[at].view(np.int64)), pa.array(ids[t.first + doc]), pa.array(at - t.word_at[:-1][doc])], names=["hash", "doc_id", "at"])
 
     # no filter and no narrower selection here: so the texts are dealt out once for this and for the last join
     return flagged.transform(mapped, run, "hash long, doc_id long, at long")
@@ -263,7 +269,7 @@ def factors(p: Phrases, t: Texts, i: int, window: int, flags: list[np.ndarray] |
     if found is not None:
         at, check, doc, word = found
         ok = at < n
-        ok[ok] = bits(p.runs.every(window)[t.word_at[i] + at[ok]]) == check[ok]
+        ok[ok] = bits(p.windows[t.word_at[i] + at[ok]]) == check[ok]
         source[at[ok]], place[at[ok]], there[at[ok]] = doc[ok], word[ok], True
     w = np.flatnonzero(there)
     if not len(w):
