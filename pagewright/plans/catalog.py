@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pagewright.functions import text as t
 from pagewright.operators import extract as ex, layout, locate, mark, repair, validate
 from pagewright.operators.extract import Options
+from pagewright.plans import oracles
 from pagewright.sources import html_tree, texts
 from pagewright.sources.template import template
 
@@ -176,12 +177,12 @@ for _name, _f in (("completion", t.html_for_completion), ("matcher", t.html_for_
     QUERIES[f"flat_html_{_name}"] = ((lambda f: lambda spark, sf_dir: html_docs(spark, sf_dir).select("doc_id", f(F.col("html")).alias("text")))(_f), f"SELECT page_id AS doc_id, {FLAT[_name]} AS text FROM pages")
 
 
-@query()
+@query(oracles.CONTAINER_TABLE)
 def html_containers(spark, sf_dir):
     return html_tree.container_table(html_docs(spark, sf_dir))
 
 
-@query()
+@query(oracles.NODE_TABLE)
 def html_text_nodes(spark, sf_dir):
     return html_tree.node_table(html_docs(spark, sf_dir))
 
@@ -310,9 +311,9 @@ def best_match(spark, sf_dir):
     return locate.best(found).select("doc_id", "ord", "container_idx", "marker_pos", "score")
 
 
-@query(f"WITH {DOCS}, n AS (SELECT doc_id, lead(text) OVER (ORDER BY doc_id) AS other, text FROM d) SELECT doc_id, {_jaccard('substring(text, 1, 200)', 'substring(other, 1, 200)')} AS score FROM n WHERE other IS NOT NULL".replace("lead(text) OVER (ORDER BY doc_id) AS other", "(SELECT max(text) FROM d e WHERE e.doc_id = d.doc_id + 1) AS other"))
+@query(f"WITH {DOCS} SELECT d.doc_id, {_jaccard('d.text', 'e.text')} AS score FROM d JOIN d e ON e.doc_id = d.doc_id + 1")
 def jaccard_context(spark, sf_dir):
-    """The whole texts of each document and of the next. The SQL has their first 200 characters only."""
+    """The whole texts of each document and of the next."""
     d = documents(spark, sf_dir)
     n = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
     return d.join(n, "doc_id").select("doc_id", t.jaccard(F.col("text"), F.col("other")).alias("score"))
@@ -359,7 +360,10 @@ def html_mark(spark, sf_dir):
     return mark.mark(_page_refs(spark, sf_dir), html_docs(spark, sf_dir), css=True)
 
 
-@query()
+PAGE_REFS = f"SELECT doc_id, container_idx AS ord, (container_idx + 1)::VARCHAR AS page, array_to_string(w[4:6], ' ') AS snippet, NULL::VARCHAR AS context_before, CASE WHEN container_idx % 2 = 0 THEN array_to_string(w[7:9], ' ') END AS context_after FROM (SELECT doc_id, container_idx, {sql_words("string_agg(text, '' ORDER BY node_idx)")} AS w FROM node GROUP BY doc_id, container_idx) WHERE len(w) > 8"
+
+
+@query(f"WITH {oracles.placed(PAGE_REFS, _jaccard)} {oracles.PLACES}")
 def html_place(spark, sf_dir):
     return mark.place(_page_refs(spark, sf_dir), html_docs(spark, sf_dir))
 
@@ -443,9 +447,9 @@ def segmentation_confidence(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.size(F.filter(w, lambda x: F.lower(x).isin("the", "of", "and", "que", "der", "en"))).cast("long").alias("n_known"), F.size(w).cast("long").alias("n_words"))
 
 
-@query(f"WITH {DOCS} SELECT doc_id, i::INTEGER AS start, array_to_string(w[i + 1:i + 3], ' ') AS gram FROM (SELECT doc_id, w[:20] AS w FROM d) x, LATERAL (SELECT unnest(range(0, len(x.w) - 2)) AS i) WHERE len(x.w) >= 3")
+@query(f"WITH {DOCS} SELECT doc_id, i::INTEGER AS start, array_to_string(w[i + 1:i + 3], ' ') AS gram FROM d x, LATERAL (SELECT unnest(range(0, len(x.w) - 2)) AS i) WHERE len(x.w) >= 3")
 def ngram_windows(spark, sf_dir):
-    """Windows of three words over all words of a page. The SQL has the first twenty words only."""
+    """Windows of three words over all words of a page."""
     rows = documents(spark, sf_dir).select("doc_id", t.words(F.col("text")).alias("w")).where(F.size("w") >= 3)
     grams = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
     return rows.select("doc_id", F.posexplode(grams).alias("start", "gram"))
@@ -469,17 +473,21 @@ def _cut(spark, sf_dir, begin=False):
     return d.select("doc_id", cut.alias("snippet")), d.select("doc_id", "text")
 
 
-@query()
+CUT = f"WITH {DOCS}, k AS (SELECT doc_id, array_to_string(w, ' ') AS text, array_to_string(w[3:10], ' ') AS part FROM d WHERE len(w) >= 12), c AS (SELECT doc_id, text, %s AS snippet FROM k), x AS (SELECT *, {sql_words('snippet')} AS w FROM c)"
+CUT_END, CUT_BEGIN = CUT % "substring(part, 1, length(part) - 2)", CUT % "substring(part, 3)"
+
+
+@query(f"{CUT_END} SELECT doc_id, snippet, {oracles.last_word('w', 'snippet', 'text')} AS completed FROM x")
 def complete_last_word(spark, sf_dir):
     return repair.complete_last_words(*_cut(spark, sf_dir))
 
 
-@query()
+@query(f"{CUT_BEGIN} SELECT doc_id, snippet, {oracles.first_word('w', 'snippet', 'text')} AS completed FROM x")
 def complete_first_word(spark, sf_dir):
     return repair.complete_first_words(*_cut(spark, sf_dir, begin=True))
 
 
-@query()
+@query(f"{CUT_END}, {oracles.anchored('x')} SELECT doc_id, snippet, s AS text, was_corrected FROM corrected")
 def anchor_correct(spark, sf_dir):
     s, d = _cut(spark, sf_dir)
     return repair.correct_from_anchors(s, d).select("doc_id", "snippet", "corrected.*")
@@ -493,13 +501,24 @@ def fuzzy_match(spark, sf_dir):
     return repair.fuzzy_match(s, flat).select("doc_id", "snippet", "match.*")
 
 
-@query()
+@query(f"""WITH {oracles.segmented('r', SMALL).replace('RECURSIVE ', f"RECURSIVE {DOCS}, r AS (SELECT doc_id, nfc_normalize(array_to_string(w[-6:], '')) AS t FROM d), ", 1)}
+SELECT doc_id, array_to_string(seg[-15:], ' ') AS text, CASE WHEN len(seg) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(seg, lambda x: lower(x) IN ({oracles.listed({*SMALL, *(x.lower() for x in SMALL)})}))) / len(seg)::DOUBLE END AS confidence FROM best""")
 def segment_words(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", t.last_words(t.words(F.col("text")), 6).alias("s"))
     return rows.select("doc_id", repair.segment_words(F.col("s"), SMALL).alias("r")).select("doc_id", "r.*")
 
 
-@query()
+WITH_HTML = f"""WITH h AS (SELECT page_id AS doc_id, {FLAT['matcher']} AS flat, {FLAT['completion']} AS html FROM pages), x AS (SELECT doc_id, html, {sql_dehyphenate(sql_excluded('flat'))} AS text FROM h),
+z AS (SELECT *, len(w) >= 3 AS ok, array_to_string(w[-10:], ' ') AS s FROM (SELECT *, {sql_words('text')} AS w FROM x)), p AS (SELECT *, CASE WHEN s = '' THEN 0 ELSE strpos(text, s) END AS p FROM z),
+c AS (SELECT *, CASE WHEN p > 0 THEN array_to_string(({sql_words('substring(text, 1, p - 1)')})[-4:], ' ') ELSE '' END AS b, CASE WHEN p > 0 THEN array_to_string(({sql_words('substring(text, p + length(s))')})[:4], ' ') ELSE '' END AS a, CASE WHEN ok THEN {SLASHES(STRIP(f"({sql_trim_end('s')})"))} END AS tight FROM p),
+u AS (SELECT doc_id, html, tight, {sql_words('tight')} AS tw FROM c WHERE html <> '' AND tight <> ''), v AS (SELECT doc_id, html AS text, {oracles.last_word('tw', 'tight', 'html')} AS snippet FROM u),
+need AS (SELECT *, {sql_words('snippet')} AS w FROM v WHERE NOT contains(text, snippet)), {oracles.anchored('need')},
+r AS (SELECT c.*, coalesce(k.s, v.snippet, c.tight) AS cleaned FROM c LEFT JOIN v USING (doc_id) LEFT JOIN corrected k USING (doc_id))
+SELECT doc_id, 1 AS page, coalesce(cleaned, '{t.PLACEHOLDER_END}') AS snippet, CASE WHEN ok AND (b <> '' OR a <> '') THEN b END AS context_before, CASE WHEN ok AND (b <> '' OR a <> '') THEN a END AS context_after, CASE WHEN NOT ok THEN 'Insufficient text (found ' || len(w) || ' words)' END AS note,
+  NULL::DOUBLE AS confidence, NULL::VARCHAR AS method, CASE WHEN ok THEN 'successful' ELSE 'insufficient_text' END AS status, CASE WHEN ok THEN CASE WHEN b = '' AND a = '' THEN 'context_failed' WHEN b <> '' AND a <> '' THEN 'context_extracted' ELSE 'context_partial' END END AS context_status FROM r"""
+
+
+@query(WITH_HTML)
 def extract_with_html(spark, sf_dir):
     """Extraction repaired against each page's own HTML."""
     h = html_docs(spark, sf_dir)
