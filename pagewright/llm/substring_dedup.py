@@ -257,6 +257,8 @@ def _windows(flagged: DataFrame, window: int, doc_id: str, text: str, flags: str
 
 def factors(p: Phrases, t: Texts, i: int, window: int, flags: list[np.ndarray] | None, found: list[np.ndarray] | None) -> np.ndarray:
     """The greedy parse of text i: rows (start, end, doc_id, at)."""
+    if flags is None and found is None:
+        return np.zeros((0, 4), np.int64)
     n = max(0, int(t.n_words[i]) - window + 1)
     source, place, there = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
     if flags is not None:
