@@ -3,8 +3,13 @@
 Every line with a word gets a label, good or bad. Its features are numbers about the line itself and about the lines
 before and after it; the chain adds a weight for each pair of neighbouring labels. Forward-backward gives each line its
 marginal probability of being good, the length-weighted mean of which, after a logistic calibration, is the score of the
-document. The weights are learned on the driver from at most ``rows`` labelled documents (see learn()), where a line has
-the label of its document; the scores cover every whole text.
+document. The weights are learned on the driver from at most ``rows`` labelled documents (see learn()); the scores cover
+every whole text.
+
+Only documents have labels, so those of lines are hidden. For the first third of the rounds each line is told by its own
+features alone, with its document's label: what is rare in good documents looks bad. Then the whole chain learns, and a
+line's label is what forward-backward expects of it under the present weights when every line's log-odds are moved by PRIOR
+towards its document's label. So a line that looks bad among good ones is marked down, by as much as its neighbours allow.
 
 Inputs of a score are the text alone. Null texts, empty texts and texts without a word have no lines; their share of
 good text is 0. Repeated rows get equal scores. An empty table gives an empty result. Other columns pass through; score
@@ -27,6 +32,7 @@ from pagewright.llm.tables import mapped
 OWN = ("words", "symbols", "marks", "upper", "digits", "repeats", "word_length", "dup", "stop")
 #: One constant, the line's own numbers, those of its neighbours, and whether it has neighbours.
 N_FEATURES = 1 + 3 * len(OWN) + 2
+PRIOR = 1.0
 
 
 def _count(t: Texts, which: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -133,14 +139,16 @@ def fit(x: np.ndarray, first: np.ndarray, n: np.ndarray, size: np.ndarray, label
     y = np.repeat(label, n).astype(float)
     theta = np.zeros(x.shape[1] + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    inner = np.ones(len(y), bool)
-    inner[first[n > 0]] = False
-    at = np.flatnonzero(inner)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[at - 1].astype(int), y[at].astype(int)), 1)
     for k in range(1, rounds + 1):
-        p, _, pairs = marginals(x @ theta[:-4], theta[-4:].reshape(2, 2), first, n)
-        g = np.concatenate([x.T @ (y - p), (seen - pairs).ravel()]) / max(1, len(y)) - decay * theta
+        good, pair = x @ theta[:-4], theta[-4:].reshape(2, 2)
+        p, _, pairs = marginals(good, pair, first, n)
+        alone = k <= rounds // 3
+        if not alone:  # a step of expectation: the hidden labels of lines, given those of documents
+            hidden, _, seen = marginals(good + PRIOR * (2 * y - 1), pair, first, n)
+        else:
+            hidden, seen = y, pairs
+        g = np.concatenate([x.T @ (hidden - p), (seen - pairs).ravel()]) / max(1, len(y)) - decay * theta
+        g[1 + len(OWN) :] *= not alone
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta + 0.1 * m / (1 - 0.9**k) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     weights, pair = theta[:-4], theta[-4:].reshape(2, 2)
@@ -181,16 +189,16 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 3000, text: str = "tex
     return fit(x, np.cumsum(n) - n, n, size, got["quality"].to_numpy().astype(float))
 
 
-def classify(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """docs (or its columns ``keep``) with score (0 to 1) and predicted (1 from ``threshold`` on)."""
-    made = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    kept = [f for f in docs.schema.fields if f.name not in ("score", "predicted") and (keep is None or f.name in keep)]
+def classify(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text", keep: tuple[str, ...] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs (or its columns ``keep``) with score (0 to 1) and predicted (1 from ``threshold`` on), under these ``names``."""
+    made = [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]
+    kept = [f for f in docs.schema.fields if f.name not in names and (keep is None or f.name in keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in steps(b.column(text)):
                 s = model.score(t)
                 part = b.slice(t.first, t.count)
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*(f.name for f in kept), "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*(f.name for f in kept), *names])
 
     return docs.transform(mapped, run, T.StructType(kept + made))
