@@ -6,7 +6,8 @@ agree tend to copy alike. Of each bin BITS low-order bits are kept. Two values t
 2**-BITS, which the likeness takes out again: (share - 2**-BITS) / (1 - 2**-BITS).
 
 A text of one to four words has one shingle. Null and empty texts have no shingle and the fingerprint '': two of them
-have likeness 1, one and any other text 0. Equal texts have equal fingerprints.
+have likeness 1, one and any other text 0. Equal texts have equal fingerprints; repeated rows and rows of equal or null id
+each have a result; a very long text is a step of its own; an empty table gives an empty result.
 """
 
 import functools
@@ -23,7 +24,7 @@ from pagewright.llm.arrays import Texts, mix, shingles, steps
 from pagewright.llm.tables import mapped, parts, text_bytes
 
 BINS, BITS, SHINGLE, TRIES = 256, 8, 5, 4096
-MOST_BUCKETS = 10_000
+MOST_BUCKETS = 100_000
 EMPTY = np.uint64(2**64 - 1)
 
 
@@ -106,7 +107,7 @@ def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
     need = [(before, head) for (before, _), (_, head) in zip(heads, heads[1:] + heads[:1], strict=True)]
     wanted = F.broadcast(docs.sparkSession.createDataFrame(need, "bucket long, head long"))
     after = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["head"])).select("bucket", F.lit(True).alias("follows"), "doc_id", "text")
-    return dealt.select("bucket", F.lit(False).alias("follows"), "doc_id", "text").unionByName(after).repartition(spread, "bucket").sortWithinPartitions("bucket", "follows", F.col("doc_id").desc_nulls_last(), "text")
+    return dealt.select("bucket", F.lit(False).alias("follows"), "doc_id", "text").unionByName(after).repartition(min(spread, n), "bucket").sortWithinPartitions("bucket", "follows", F.col("doc_id").desc_nulls_last(), "text")
 
 
 def edited_pairs(docs: DataFrame, text: str = "text", step: int = 512 << 10) -> DataFrame:
