@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-import corpus_pipeline
-from pagewright.llm import chat, fingerprints, mixing, quality_crf, quality_rules as rules, warc
+from pagewright.llm import chat, fingerprints, mixing, pipeline, quality_crf, quality_rules as rules, warc
 from pagewright.llm.byte_bpe import bpe_encode
 from pagewright.llm.near_dedup import near_dedup
 from pagewright.llm.substring_dedup import substring_dedup
@@ -77,7 +76,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_quality_crf, op3_near_dedup, op4_fingerprints, op5_mix_sources, op6_byte_bpe, op7_warc, op8_chat_format, op9_token_counts, op10_substring_dedup)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_quality_rules, op2_quality_crf, op3_near_dedup, op4_fingerprints, op5_mix_sources, op6_byte_bpe, op7_warc, op8_chat_format, op9_token_counts, op10_substring_dedup)} | {"pipeline": pipeline.run}
 
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

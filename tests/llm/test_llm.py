@@ -4,6 +4,7 @@ import collections
 import functools
 import gzip
 import hashlib
+import os
 import random
 import re
 import struct
@@ -183,6 +184,45 @@ def test_classifier(spark, docs, empty):
     assert quality_crf.classify(empty, model).count() == 0
 
 
+def test_lines_of_one_document_differ():
+    """Lines have hidden labels: a bad line in a good document is told from its neighbours, and a good one in a bad document."""
+    import pyarrow as pa
+
+    from pagewright.llm.arrays import steps
+
+    good = lambda i, j: f"It is a plain line of words, as any, {VOCABULARY[(7 * i + j) % 200]} and {VOCABULARY[(3 * i + j) % 200]}."
+    bad = lambda i, j: f"{VOCABULARY[(7 * i + j) % 200].upper()}!! ### BUY!!"
+    texts, labels = [], []
+    for i in range(120):
+        y = i % 2
+        lines = [(good if y else bad)(i, j) for j in range(10)]
+        if i % 3 == 0:
+            lines[5] = (bad if y else good)(i, 5)
+        texts.append("\n".join(lines))
+        labels.append(y)
+    t = next(steps(pa.array(texts), 1 << 30))
+    x, doc, size = quality_crf.line_features(t)
+    first, n = quality_crf.chains(doc, t.count)
+    model = quality_crf.fit(x, first, n, size, np.array(labels, float))
+    p, *_ = quality_crf.marginals(x @ model.weights, model.pair, first, n)
+    odds = np.log(p / (1 - p))
+    for i in range(0, 120, 3):  # the odd line's log-odds lean from those of its neighbours towards its own look
+        lean = odds[first[i] + 5] - odds[[first[i] + 3, first[i] + 4, first[i] + 6, first[i] + 7]].mean()
+        assert lean < -2 if labels[i] else lean > 2
+    assert ((model.score(t) >= 0.3) == np.array(labels, bool)).all()
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="the tables are not here")
+def test_quality_on_held_out_labels(spark):
+    """Nine in ten of the labelled documents that the model has not seen, at least, by the query itself."""
+    from pagewright.llm import queries
+
+    at = "/root/testdata/sf0.01"
+    out = by_id(queries.op2_quality_crf(spark, at))
+    held = [(r["quality"], out[r["doc_id"]]) for r in spark.read.parquet(f"{at}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 and r["doc_id"] in out]
+    assert all(r["held_out"] for _, r in held) and sum(y == r["predicted"] for y, r in held) > 0.9 * len(held) > 20
+
+
 # -- 3 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -352,8 +392,19 @@ def test_mixing(spark, empty):
     assert mixing.draws(mixing.sizes(empty)).count() == 0
 
 
+def test_mixing_of_equal_rows(spark):
+    """Very many rows without an id, of one size, are dealt to many blocks, and each is drawn."""
+    rows = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") < 4000, "a").otherwise("b").alias("source"), F.lit(7).cast("long").alias("size"))
+    assert mixing.numbered(rows).groupBy("source").agg(F.countDistinct("nth").alias("n"), F.max("nth").alias("m")).orderBy("source").collect() == [("a", 4000, 3999), ("b", 1000, 999)]
+    out = mixing.draws(rows)
+    got = {r["source"]: r for r in out.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect()}
+    assert (got["a"]["n"], got["b"]["n"]) == (4000, 1000) and all(abs(r["taken"] - r["target"]) <= 7 for r in got.values())
+
+
 def test_mix_rows(docs, empty):
-    out = collections.Counter(r["doc_id"] for r in mixing.mix(clash(docs, "copies", "size")).collect())
+    clashing = clash(docs, "copies", "size", "_n", "_id", "_of", "_each", "drawn_id", "drawn_copies", "item", "about")
+    out = collections.Counter(r["doc_id"] for r in mixing.mix(clashing).collect())
+    assert mixing.mix(clashing).columns == clashing.columns
     drawn = {r["doc_id"]: r["copies"] for r in mixing.draws(mixing.sizes(docs)).collect()}
     assert out == collections.Counter({k: n for k, n in drawn.items() if n})
     assert mixing.mix(empty).count() == 0
@@ -485,7 +536,7 @@ def test_chat(spark):
         assert got[i]["formatted"].count(chat.END) == 2
     assert [tuple(x) for x in got[900]["turns"]] == [("a<|im_sep|>b", "first"), ("", "x"), ("assistant", "same"), ("assistant", "same")]
     assert got[900]["learned"] == ["same", "same"] and [tuple(x) for x in got[None]["turns"]] == [("user", "null id")]
-    assert out.where("false").count() == 0
+    assert chat.chat_format(spark.createDataFrame([], f"conv_id long, turn long, role string, parts array<{chat.PART}>")).count() == 0
 
 
 def test_chat_parts(spark):
@@ -579,7 +630,7 @@ def test_substrings_of_few_words(spark, monkeypatch, seed):
 
 
 def test_pipeline(spark, docs, tmp_path):
-    import corpus_pipeline
+    from pagewright.llm import pipeline as corpus_pipeline
 
     good = [(1000 + i, "\n".join(text(9, 7000 + 10 * i + j) for j in range(6)), "en", "a", 0) for i in range(60)]
     bad = [(2000 + i, "\n".join(" ".join(f"{w.upper()}!!" for w in words(text(9, 9000 + 10 * i + j))) for j in range(6)), "en", "b", 0) for i in range(60)]
@@ -602,6 +653,62 @@ def test_pipeline(spark, docs, tmp_path):
     assert corpus_pipeline.STAGES[1][1](spark, docs.where("false"), str(tmp_path)).count() == 0
 
 
+MINE = ("score", "predicted", "class_id", "same_text_id", "same", "flags", "found", "n_words", "n_removed", "spans", "factors", "row", "copies", "size", "drawn_id", "_first", "_n")
+
+
+def classes(rows):
+    """Components of equal texts and of pairs of 0.8 and more, by brute force."""
+    part = {a: a for a in rows}
+    for a in rows:
+        for b in rows:
+            if a < b and part[a] != part[b] and ((rows[a] or "") == (rows[b] or "") or jaccard(rows[a], rows[b]) >= 0.8):
+                part = {x: min(part[a], part[b]) if y in (part[a], part[b]) else y for x, y in part.items()}
+    return part
+
+
+def test_stages_by_brute_force(spark, docs, empty, tmp_path):
+    """Every stage on nulls, empty and very long texts, repeated rows, clashing columns and empty tables, against plain Python."""
+    from tokenizers import Tokenizer
+
+    from pagewright.llm import pipeline
+
+    spark.createDataFrame([(i * 3, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    given = clash(docs, *MINE).cache()
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    stage = dict(pipeline.STAGES)
+    for name in ("quality", "near_duplicates", "substrings", "mixture"):
+        assert stage[name](spark, clash(empty, *MINE), str(tmp_path)).count() == 0
+        out = stage[name](spark, given, str(tmp_path))
+        assert out.columns == given.columns
+        got = out.collect()
+        assert all(r[c] == "mine" for r in got for c in MINE)
+        if name != "substrings":
+            assert all(r["text"] == rows[r["doc_id"]] for r in got)
+        if name == "near_duplicates":
+            part = classes(rows)
+            assert sorted(r["doc_id"] for r in got) == sorted(set(part.values()))
+        if name == "substrings":
+            assert [(r["doc_id"], words(r["text"])) for r in sorted(got, key=lambda r: r["doc_id"])] == [(k, words(s)) for k, _, _, s in removed(list(rows.items()))]
+            assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got)
+        if name == "mixture":
+            drawn = {r["doc_id"]: r["copies"] for r in mixing.draws(mixing.sizes(docs)).collect()}
+            assert collections.Counter(r["doc_id"] for r in got) == {k: n for k, n in drawn.items() if n}
+    library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    for r in pipeline.tokens(spark, given, str(tmp_path)).collect():
+        assert r["round_trip"] and r["ids"] == library.encode(rows[r["doc_id"]] or "", add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"])
+    assert pipeline.tokens(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_of_equal_ids(spark, tmp_path):
+    from pagewright.llm import pipeline
+
+    a, b = text(50, 71), text(50, 72)
+    rows = [(1, a), (1, a), (1, b), (2, a), (None, a), (None, a), (3, None), (3, "")]
+    out = pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out if r["doc_id"] != 3) == sorted([(0, a), (0, a), (1, a), (1, b)])
+
+
 def test_held_out(spark):
     from pagewright.llm.tables import held_out
 
