@@ -1,65 +1,5 @@
-"""A corpus pipeline of five stages. Each is written as Parquet and read again before the next one.
+"""The corpus pipeline: its stages, run() over the tables of a folder, and its SQL (none). See pagewright.llm.pipeline."""
 
-A stage takes all that the one before it kept. The first four return the columns of documents; the last returns the
-tokens. Rows without a doc_id have no label and no near-duplicate class and pass those stages by their text alone;
-rows of equal doc_id are one document from the second stage on.
-"""
+from pagewright.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-
-from pagewright.llm import mixing, quality_crf
-from pagewright.llm.byte_bpe import bpe_encode
-from pagewright.llm.near_dedup import near_dedup
-from pagewright.llm.substring_dedup import substring_dedup
-from pagewright.llm.tables import held_out, shared_folder, table, vocabulary
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
-    model = quality_crf.learn(docs, table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
-    return quality_crf.classify(docs, model).where("predicted = 1").select(*docs.columns)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each class."""
-    stay = near_dedup(docs).where("doc_id = class_id").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    known = docs.join(stay, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1")
-    return known.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
-
-
-def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that an earlier one has; n_chars follows."""
-    return substring_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target asks for."""
-    return mixing.mix(docs)
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text, and whether they decode to it."""
-    path = vocabulary("byte_bpe_50k.tiktoken")
-    coded = bpe_encode(docs.select("doc_id", "lang", "source", "text"), path, decoded=True)
-    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
-
-
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("substrings", substrings), ("mixture", mixture), ("tokens", tokens)]
-
-#: A trained classifier and hashed signatures have no SQL; tests compare the stages with brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
-        docs = spark.read.parquet(f"{at}/{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
