@@ -30,7 +30,7 @@ from pagewright.llm.arrays import steps
 from pagewright.llm.pretokens import cuts, distinct, strings
 from pagewright.llm.tables import mapped
 
-STEP, CACHE, WORDS, RUNS, SLICE = 2 << 20, 1 << 18, 1 << 14, 64, 1 << 18
+STEP, CACHE, WORDS, RUNS, SLICE = 1 << 20, 1 << 17, 1 << 13, 64, 1 << 16
 #: Above every rank; a pair is left * WIDE + right; what is least first is rank * WIDE + position.
 NONE, WIDE = 1 << 30, 1 << 32
 
@@ -72,20 +72,20 @@ class Coder:
         import duckdb
 
         with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        if max(self.ranks.values()) >= NONE // 2:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if max(ranks.values()) >= NONE // 2:
             raise ValueError(f"ranks have to be below {NONE // 2}")
-        cut = [(a, b, r) for token, r in self.ranks.items() for i in range(1, len(token)) if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None]
-        left, right, merged = np.array(cut, np.int64).reshape(-1, 3).T
+        cut = ((a, b, r) for token, r in ranks.items() for i in range(1, len(token)) if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None)
+        left, right, merged = np.fromiter(cut, np.dtype((np.int64, 3))).T
         early = np.concatenate([left[merged < left], right[merged < right]])
-        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.duck = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
         joined = pa.table({"pair": left * WIDE + right, "m": 2 * merged + np.isin(merged, early)})  # noqa: F841
         self.duck.execute("CREATE TABLE merges AS SELECT * FROM joined")
         # a byte is shown as a character from U+0100 on: one each, and none is special to SQL
-        shown = pa.table({"id": pa.array(list(self.ranks.values()), pa.int64()), "shown": ["".join(chr(256 + b) for b in t) for t in self.ranks]})  # noqa: F841
+        shown = pa.table({"id": pa.array(list(ranks.values()), pa.int64()), "shown": ["".join(chr(256 + b) for b in t) for t in ranks]})  # noqa: F841
         self.duck.execute("CREATE TABLE vocabulary AS SELECT * FROM shown")
-        self.whole = {t: np.int32(r).tobytes() for t, r in self.ranks.items()}
+        self.whole = {t: np.int32(r).tobytes() for t, r in ranks.items()}
         self.young: dict[bytes, bytes] = {}  # pre-tokens and their ids, four bytes each
         self.old: dict[bytes, bytes] = {}
 

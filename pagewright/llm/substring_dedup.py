@@ -42,7 +42,7 @@ from pagewright.llm.arrays import Runs, Texts, steps, windows
 from pagewright.llm.tables import checkpoint, fresh, mapped, parts
 
 ANCHOR = 5
-FLUSH, PARTITIONS, BLOCK_BYTES = 1 << 18, 1 << 15, 16 << 20
+FLUSH, PARTITIONS, BLOCK_BYTES = 1 << 17, 1 << 15, 8 << 20
 SAMPLE, SHARE, LEAST, HOT = 4000, 1 / 500, 8, 4096
 INDEX_BITS = np.uint64(28)
 LOW = (np.uint64(1) << INDEX_BITS) - np.uint64(1)

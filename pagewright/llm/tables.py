@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 #: Text of one task of the operators that deal rows out anew.
 TASK_BYTES = 16 << 20
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def shared_folder(spark: SparkSession) -> str:
