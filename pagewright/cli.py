@@ -62,10 +62,10 @@ def extract_file(a) -> str:
         raise PageError("an HTML file is needed; use --raw-pdf to do without")
     if a.fuzzy_match and not a.html:
         raise PageError("--fuzzy-match needs an HTML file")
-    options = ex.Options(snippet_words=a.words, strategy=a.strategy, exclude_patterns=tuple(a.exclude_pattern or ()), use_default_excludes=not a.no_default_excludes, context_words=a.context_words, fuzzy=a.fuzzy_match, segment=a.segment_words)
+    backend = pdf.choose_backend(a.backend) if os.path.exists(a.pdf) else None
+    options = ex.Options(default_backend=backend == "pymupdf", second_backend=backend == "pdfplumber", snippet_words=a.words, strategy=a.strategy, exclude_patterns=tuple(a.exclude_pattern or ()), use_default_excludes=not a.no_default_excludes, context_words=a.context_words, fuzzy=a.fuzzy_match, segment=a.segment_words)
     if not os.path.exists(a.pdf):
         raise SourceNotFoundError(f"PDF file not found: {a.pdf}")
-    backend = pdf.choose_backend(a.backend)
     spark = session()
     html = html_of(spark, a.html) if a.html and not a.raw_pdf else None
     if a.two_column:

@@ -234,3 +234,8 @@ def occurrences(needle: Column, t: Column) -> Column:
     start = F.struct(F.when(F.startswith(t, needle), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("at"), F.lit(0).alias("end"))
     ends = F.aggregate(lengths, start, lambda acc, n: F.struct(F.concat(acc["at"], F.array(acc["end"] + n)).alias("at"), (acc["end"] + n).alias("end")))["at"]
     return F.when((F.length(needle) == 0) | ~F.contains(t, needle), F.array().cast("array<int>")).otherwise(F.slice(ends, F.lit(1), F.size(ends) - 1))
+
+
+def ngrams(words: Column, n: int) -> Column:
+    """Every n words in a row, joined by spaces, in order; an empty array if there are fewer."""
+    return F.when(F.size(words) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.concat_ws(" ", *(F.get(words, i + k) for k in range(n)))))

@@ -15,7 +15,12 @@ STRATEGIES = ("end_of_page", "beginning_of_page", "bottom_visual")
 
 @dataclass(frozen=True)
 class Options:
-    """How snippets are taken. default_backend: what the plain backend does, which never reaches fuzzy matching or segmentation."""
+    """How snippets are taken.
+
+    default_backend: what the plain backend does, which never reaches fuzzy matching or segmentation. second_backend: what
+    the other one does: slashes are always tightened, no context is taken, and the note of a short page says how many words
+    it needs.
+    """
 
     snippet_words: int = 10
     min_words: int = 3
@@ -28,6 +33,7 @@ class Options:
     dictionary: tuple[str, ...] | None = None
     always_tighten: bool = False
     default_backend: bool = False
+    second_backend: bool = False
 
     def __post_init__(self):
         if self.snippet_words < 1:
@@ -55,27 +61,30 @@ def page_text(raw: Column, o: Options) -> Column:
 def extract(pages: DataFrame, options: Options = Options(), html: DataFrame | None = None) -> DataFrame:
     """pages (doc_id, page, text) to records (doc_id, page, snippet, context_before, context_after, note, confidence, method, status).
 
-    html: (doc_id, html). status: successful or insufficient_text; context_status: context_extracted, context_partial,
-    context_failed, or null where no context is asked for.
+    html: (doc_id, html). status: successful, insufficient_text, or failed where pages has a column ``note`` and a note from
+    its source; context_status: context_extracted, context_partial, context_failed, or null where no context is asked for.
     """
     o = options
-    base = pages.select("doc_id", "page", page_text(F.col("text"), o).alias("text")).withColumn("w", t.words(F.col("text")))
-    enough = F.size("w") >= o.min_words
+    said = F.col("note") if "note" in pages.columns else F.lit(None).cast("string")
+    base = pages.select("doc_id", "page", page_text(F.col("text"), o).alias("text"), said.alias("said")).withColumn("w", t.words(F.col("text")))
+    enough = (F.size("w") >= o.min_words) & F.col("said").isNull()
     original = t.first_words(F.col("w"), o.snippet_words) if o.begin else t.last_words(F.col("w"), o.snippet_words)
     cut = base.withColumn("original", original).withColumn("snippet", F.when(enough, t.trim_start_boundary(F.col("original")) if o.begin else t.trim_end_boundary(F.col("original"))))
     if html is not None:
         texts = html.select("doc_id", t.html_for_completion(F.col("html")).alias("text"))
         cut = repair.clean_snippets(cut, texts, o.begin, o.snippet_words).withColumn("snippet", F.coalesce("cleaned", "snippet")).drop("cleaned")
-    elif o.always_tighten:
+    elif o.always_tighten or o.second_backend:
         cut = cut.withColumn("snippet", t.tighten_slashes(t.strip(F.col("snippet"))))
     cut = cut.withColumns({"confidence": F.lit(None).cast("double"), "method": F.lit(None).cast("string")})
     if o.fuzzy and html is not None and not o.default_backend:
         flat = html.select("doc_id", t.html_for_matching(F.col("html")).alias("text"))
-        cut = repair.fuzzy_match(cut, flat).withColumns({"snippet": F.when(F.isnull("snippet"), None).otherwise(F.coalesce(t.strip(F.col("match.text")), "snippet")), "confidence": F.round("match.confidence", 2), "method": F.when(F.col("match").isNotNull(), "html_match")}).drop("match")
+        cut = repair.fuzzy_match(cut, flat).withColumns({"snippet": F.when(F.isnull("snippet"), None).otherwise(F.coalesce(t.strip(F.col("match.text")), "snippet")), "confidence": F.col("match.rounded"), "method": F.when(F.col("match").isNotNull(), "html_match")}).drop("match")
     elif o.segment and not o.default_backend:
-        cut = cut.withColumn("s", repair.segment_words(F.col("snippet"), o.dictionary, o.snippet_words)).withColumns({"snippet": F.when(F.isnull("snippet"), None).otherwise(t.strip(F.col("s.text"))), "confidence": F.when(F.col("snippet").isNotNull(), F.round("s.confidence", 2)), "method": F.when(F.col("snippet").isNotNull(), "word_segmentation")}).drop("s")
+        cut = cut.withColumn("s", repair.segment_words(F.col("snippet"), o.dictionary, o.snippet_words)).withColumns({"snippet": F.when(F.isnull("snippet"), None).otherwise(t.strip(F.col("s.text"))), "confidence": F.when(F.col("snippet").isNotNull(), F.col("s.rounded")), "method": F.when(F.col("snippet").isNotNull(), "word_segmentation")}).drop("s")
     ok = F.col("snippet").isNotNull()
-    context = t.page_context(F.col("text"), F.col("original"), o.context_words)
+    words = 0 if o.second_backend else o.context_words
+    context = t.page_context(F.col("text"), F.col("original"), words)
+    short = F.concat(F.lit("Insufficient text (found "), F.size("w").cast("string"), F.lit(f" words, need {o.min_words})" if o.second_backend else " words)"))
     some = ok & ((F.length("c.before") > 0) | (F.length("c.after") > 0))
     both = (F.length("c.before") > 0) & (F.length("c.after") > 0)
     return cut.withColumn("c", context).select(
@@ -84,11 +93,11 @@ def extract(pages: DataFrame, options: Options = Options(), html: DataFrame | No
         F.coalesce("snippet", F.lit(t.PLACEHOLDER_BEGIN if o.begin else t.PLACEHOLDER_END)).alias("snippet"),
         F.when(some, F.col("c.before")).alias("context_before"),
         F.when(some, F.col("c.after")).alias("context_after"),
-        F.when(~ok, F.concat(F.lit("Insufficient text (found "), F.size("w").cast("string"), F.lit(" words)"))).alias("note"),
+        F.when(~ok, F.coalesce("said", short)).alias("note"),
         "confidence",
         "method",
-        F.when(ok, "successful").otherwise("insufficient_text").alias("status"),
-        F.when(ok & F.lit(o.context_words > 0), F.when(~some, "context_failed").when(both, "context_extracted").otherwise("context_partial")).alias("context_status"),
+        F.when(ok, "successful").when(F.col("said").isNotNull(), "failed").otherwise("insufficient_text").alias("status"),
+        F.when(ok & F.lit(words > 0), F.when(~some, "context_failed").when(both, "context_extracted").otherwise("context_partial")).alias("context_status"),
     )
 
 

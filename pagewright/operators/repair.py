@@ -5,6 +5,7 @@ Snippets and texts meet by document: the text comes to Python once for each docu
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -48,13 +49,18 @@ def clean_snippets(snippets: DataFrame, texts: DataFrame, begin: bool = False, t
 
 
 def fuzzy_match(snippets: DataFrame, texts: DataFrame, least: float = 0.6) -> DataFrame:
-    """With match: (text, confidence, cleaned) of the best window of words."""
+    """With match: (text, confidence, cleaned, rounded) of the best window of words; rounded: the confidence to two places, as Python rounds it."""
 
     def make(text: str):
         m = repair.Matcher(text)
-        return lambda s: dict(zip(("text", "confidence", "cleaned"), m.match(s, least), strict=True))
 
-    return by_document(snippets, texts, "match", "struct<text:string,confidence:double,cleaned:string>", make)
+        def match(s: str) -> dict:
+            text, confidence, cleaned = m.match(s, least)
+            return {"text": text, "confidence": confidence, "cleaned": cleaned, "rounded": round(confidence, 2)}
+
+        return match
+
+    return by_document(snippets, texts, "match", "struct<text:string,confidence:double,cleaned:string,rounded:double>", make)
 
 
 def indel_ratio(a: Column, b: Column) -> Column:
@@ -68,13 +74,15 @@ def indel_ratio(a: Column, b: Column) -> Column:
 
 
 def segment_words(text: Column, words: Iterable[str] | None = None, most: int = 15) -> Column:
-    """Struct (text, confidence). words: the dictionary, sent to each task; by default a few common Greek words."""
+    """Struct (text, confidence, rounded). words: the dictionary, sent to each task; by default, with a warning, a few common Greek words."""
+    if words is None:
+        warnings.warn("No dictionary is given; a few common Greek words serve instead", UserWarning, stacklevel=2)
     known = repair.dictionary(repair.COMMON_WORDS if words is None else list(words))
     longest = max((len(w) for w in known), default=0)
 
-    @F.pandas_udf("text string, confidence double")
+    @F.pandas_udf("text string, confidence double, rounded double")
     def run(x: pd.Series) -> pd.DataFrame:
         rows = [repair.segment(s, known, longest, most) if s is not None else (None, None) for s in x]
-        return pd.DataFrame({"text": [r[0] for r in rows], "confidence": pd.Series([r[1] for r in rows], dtype="float64")})
+        return pd.DataFrame({"text": [r[0] for r in rows], "confidence": pd.Series([r[1] for r in rows], dtype="float64"), "rounded": pd.Series([None if r[1] is None else round(r[1], 2) for r in rows], dtype="float64")})
 
     return run(text)

@@ -54,6 +54,13 @@ def ready(summary_row: dict) -> bool:
     return not summary_row["placeholder_count"] and not summary_row.get("n_duplicates") and summary_row.get("html_match_rate", 1.0) > 0.95
 
 
+def gate(records: DataFrame, html: DataFrame | None = None) -> DataFrame:
+    """One row, ready: as ready() says it of all records at once."""
+    one = summary(records).select("placeholder_count", (F.col("total_snippets") - F.col("unique_snippets")).alias("n_duplicates"))
+    rate = match_rate(records, html).select("html_match_rate") if html is not None else records.agg(F.lit(1.0).alias("html_match_rate"))
+    return one.join(rate, F.lit(True)).select(((F.col("placeholder_count") == 0) & (F.col("n_duplicates") == 0) & (F.col("html_match_rate") > 0.95)).alias("ready"))
+
+
 def results(records: DataFrame, html: DataFrame | None = None) -> dict:
     """All results of one document as a dictionary, for reports. Lists are as long as the document's findings."""
     out = summary(records).first().asDict()

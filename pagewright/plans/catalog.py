@@ -141,23 +141,31 @@ def context_page(spark, sf_dir):
     return documents(spark, sf_dir).withColumn("c", t.page_context(F.col("text"), s)).select("doc_id", F.col("c.before").alias("context_before"), F.col("c.after").alias("context_after"))
 
 
+DAMAGED = "Extraction failed: damaged page"
+
+
+def pages_with_damage(spark, sf_dir):
+    """Documents as pages, one in fifty of which its source could not read."""
+    return documents(spark, sf_dir).withColumn("note", F.when(F.col("doc_id") % 50 == 7, DAMAGED))
+
+
 RECORDS = f"""WITH {DOCS}, x AS (SELECT doc_id, {sql_dehyphenate(sql_excluded('text'))} AS text FROM d), y AS (SELECT *, {sql_words('text')} AS w FROM x),
-z AS (SELECT *, len(w) >= 3 AS ok, array_to_string(w[-10:], ' ') AS s FROM y), p AS (SELECT *, CASE WHEN s = '' THEN 0 ELSE strpos(text, s) END AS p FROM z),
+z AS (SELECT *, len(w) >= 3 AND doc_id % 50 <> 7 AS ok, array_to_string(w[-10:], ' ') AS s FROM y), p AS (SELECT *, CASE WHEN s = '' THEN 0 ELSE strpos(text, s) END AS p FROM z),
 c AS (SELECT *, CASE WHEN p > 0 THEN array_to_string(({sql_words('substring(text, 1, p - 1)')})[-4:], ' ') ELSE '' END AS b, CASE WHEN p > 0 THEN array_to_string(({sql_words('substring(text, p + length(s))')})[:4], ' ') ELSE '' END AS a FROM p),
 r AS (SELECT doc_id, 1 AS page, CASE WHEN ok THEN {sql_trim_end('s')} ELSE '{t.PLACEHOLDER_END}' END AS snippet, CASE WHEN ok AND (b <> '' OR a <> '') THEN b END AS context_before, CASE WHEN ok AND (b <> '' OR a <> '') THEN a END AS context_after,
-  CASE WHEN NOT ok THEN 'Insufficient text (found ' || len(w) || ' words)' END AS note, CASE WHEN ok THEN 'successful' ELSE 'insufficient_text' END AS status,
+  CASE WHEN doc_id % 50 = 7 THEN '{DAMAGED}' WHEN NOT ok THEN 'Insufficient text (found ' || len(w) || ' words)' END AS note, CASE WHEN ok THEN 'successful' WHEN doc_id % 50 = 7 THEN 'failed' ELSE 'insufficient_text' END AS status,
   CASE WHEN ok THEN CASE WHEN b = '' AND a = '' THEN 'context_failed' WHEN b <> '' AND a <> '' THEN 'context_extracted' ELSE 'context_partial' END END AS context_status FROM c) """
 RECORD_COLUMNS = "doc_id, snippet, context_before, context_after, note, status, context_status"
 
 
 @query(RECORDS + f"SELECT {RECORD_COLUMNS} FROM r")
 def extract_records(spark, sf_dir):
-    return ex.extract(documents(spark, sf_dir)).select(*RECORD_COLUMNS.split(", "))
+    return ex.extract(pages_with_damage(spark, sf_dir)).select(*RECORD_COLUMNS.split(", "))
 
 
-@query(RECORDS + "SELECT count(*) AS total_pages, count(*) FILTER (status = 'successful') AS successful, count(*) FILTER (status = 'insufficient_text') AS insufficient_text, 0::BIGINT AS failed, count(*) FILTER (context_status = 'context_extracted') AS context_extracted, count(*) FILTER (context_status = 'context_partial') AS context_partial, count(*) FILTER (context_status = 'context_failed') AS context_failed FROM r")
+@query(RECORDS + "SELECT count(*) AS total_pages, count(*) FILTER (status = 'successful') AS successful, count(*) FILTER (status = 'insufficient_text') AS insufficient_text, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (context_status = 'context_extracted') AS context_extracted, count(*) FILTER (context_status = 'context_partial') AS context_partial, count(*) FILTER (context_status = 'context_failed') AS context_failed FROM r")
 def extract_stats(spark, sf_dir):
-    return ex.stats(ex.extract(documents(spark, sf_dir)))
+    return ex.stats(ex.extract(pages_with_damage(spark, sf_dir)))
 
 
 @query(f"WITH {DOCS} SELECT doc_id + 7 AS page, array_to_string(w[-10:], ' ') AS snippet FROM d WHERE doc_id >= 100 AND doc_id <= 900 AND len(w) >= 3")
@@ -202,7 +210,7 @@ def top_duplicates(spark, sf_dir):
 
 @query(RECORDS + f"SELECT count(*)::BIGINT AS total_snippets, count(DISTINCT snippet)::BIGINT AS unique_snippets, count(*) FILTER (snippet = '{t.PLACEHOLDER_END}')::BIGINT AS placeholder_count, count(*) FILTER (context_before <> '' AND context_after <> '')::BIGINT AS context_full, count(*) FILTER ((coalesce(context_before, '') <> '') <> (coalesce(context_after, '') <> ''))::BIGINT AS context_partial, count(*) FILTER (coalesce(context_before, '') = '' AND coalesce(context_after, '') = '')::BIGINT AS context_none FROM r")
 def validate_summary(spark, sf_dir):
-    return validate.summary(ex.extract(documents(spark, sf_dir)))
+    return validate.summary(ex.extract(pages_with_damage(spark, sf_dir)))
 
 
 def page_records(spark, sf_dir):
@@ -232,10 +240,16 @@ def missing_pages(spark, sf_dir):
     return gone.agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "page"))), lambda x: x["page"]).alias("pages"))
 
 
-@query(f"WITH {DOCS}, s AS (SELECT array_to_string(w[-10:], ' ') AS snippet FROM d WHERE len(w) >= 3) SELECT (SELECT count(*) FROM s WHERE snippet = '{t.PLACEHOLDER_END}') = 0 AND count(*) = count(DISTINCT snippet) AS ready FROM s")
+GATE = "bool_and(NOT held) AND count(*) = count(DISTINCT snippet) AND (count(*) - count(*) FILTER (gone) - count(*) FILTER (held))::DOUBLE / greatest(1, count(*) - count(*) FILTER (held))::DOUBLE > 0.95"
+
+
+@query(PAGE_RECORDS + f"SELECT 'all' AS rows, {GATE} AS ready FROM m UNION ALL SELECT 'good' AS rows, {GATE} AS ready FROM m WHERE doc_id % 10 <> 9 AND doc_id % 3 <> 1 AND snippet IN (SELECT snippet FROM m WHERE doc_id % 10 <> 9 AND doc_id % 3 <> 1 GROUP BY snippet HAVING count(*) = 1)")
 def ready_gate(spark, sf_dir):
-    rows = snippet_end(spark, sf_dir).withColumns({"context_before": F.lit(None).cast("string"), "context_after": F.lit(None).cast("string")})
-    return validate.summary(rows).select(((F.col("placeholder_count") == 0) & (F.col("total_snippets") == F.col("unique_snippets"))).alias("ready"))
+    """Of all records, and of those that are neither spoiled nor repeated."""
+    rows, html = page_records(spark, sf_dir).withColumns({"context_before": F.lit(None).cast("string"), "context_after": F.lit(None).cast("string")}), html_docs(spark, sf_dir)
+    sound = rows.where("doc_id % 10 <> 9 AND doc_id % 3 <> 1")
+    good = sound.join(validate.duplicates(sound), "snippet", "left_anti")
+    return validate.gate(rows, html).select(F.lit("all").alias("rows"), "ready").unionByName(validate.gate(good, html).select(F.lit("good").alias("rows"), "ready"))
 
 
 @query(RECORDS + "SELECT doc_id, CASE WHEN len(snippet) % 2 = 0 THEN len(snippet) / 100.0::DOUBLE END AS confidence FROM r WHERE coalesce(CASE WHEN len(snippet) % 2 = 0 THEN len(snippet) / 100.0::DOUBLE END, 1) < 0.7")
@@ -243,16 +257,15 @@ def low_confidence(spark, sf_dir):
     return ex.review(_confident(spark, sf_dir))[0].select("doc_id", "confidence")
 
 
-@query(RECORDS + ", e AS (SELECT coalesce(CASE WHEN len(snippet) % 2 = 0 THEN len(snippet) END, 100)::BIGINT AS c FROM r) SELECT sum(c)::BIGINT AS total_percent, count(*) FILTER (c < 70) AS n_low FROM e")
+@query(RECORDS + ", e AS (SELECT coalesce(CASE WHEN len(snippet) % 2 = 0 THEN len(snippet) / 100.0::DOUBLE END, 1.0::DOUBLE) AS c FROM r) SELECT round(avg(c), 6) AS average_confidence, count(*) FILTER (c < 0.7) AS n_low FROM e")
 def confidence_review(spark, sf_dir):
-    low, _ = ex.review(_confident(spark, sf_dir))
-    rows = _confident(spark, sf_dir).agg(F.sum(F.round(F.coalesce("confidence", F.lit(1.0)) * 100).cast("long")).alias("total_percent"))
-    return rows.join(low.agg(F.count("*").alias("n_low")), F.lit(True))
+    _, average = ex.review(_confident(spark, sf_dir))
+    return average.select(F.round("average_confidence", 6).alias("average_confidence"), "n_low")
 
 
 def _confident(spark, sf_dir):
     n = F.length("snippet")
-    return ex.extract(documents(spark, sf_dir)).withColumn("confidence", F.when(n % 2 == 0, n / 100.0))
+    return ex.extract(pages_with_damage(spark, sf_dir)).withColumn("confidence", F.when(n % 2 == 0, n / 100.0))
 
 
 # -- places ----------------------------------------------------------------------------------------------------------
@@ -441,18 +454,24 @@ def max_word_length(spark, sf_dir):
     return texts.longest(_words(spark, sf_dir))
 
 
-@query(f"WITH {DOCS} SELECT doc_id, len(list_filter(w, lambda x: lower(x) IN ('the', 'of', 'and', 'que', 'der', 'en')))::BIGINT AS n_known, len(w)::BIGINT AS n_words FROM d")
+def sql_segments(words: str) -> str:
+    return "WITH " + oracles.segmented("r", SMALL).replace("RECURSIVE ", f"RECURSIVE {DOCS}, r AS (SELECT doc_id, nfc_normalize(array_to_string({words}, '')) AS t FROM d), ", 1)
+
+
+SEGMENT_SHARE = f"CASE WHEN len(seg) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(seg, lambda x: lower(x) IN ({oracles.listed({*SMALL, *(x.lower() for x in SMALL)})}))) / len(seg)::DOUBLE END"
+
+
+@query(f"{sql_segments('w[:6]')} SELECT doc_id, {SEGMENT_SHARE} AS confidence FROM best")
 def segmentation_confidence(spark, sf_dir):
-    w = t.words(F.col("text"))
-    return documents(spark, sf_dir).select("doc_id", F.size(F.filter(w, lambda x: F.lower(x).isin("the", "of", "and", "que", "der", "en"))).cast("long").alias("n_known"), F.size(w).cast("long").alias("n_words"))
+    s = t.first_words(t.words(F.col("text")), 6)
+    return documents(spark, sf_dir).select("doc_id", repair.segment_words(s, SMALL).alias("r")).select("doc_id", "r.confidence")
 
 
 @query(f"WITH {DOCS} SELECT doc_id, i::INTEGER AS start, array_to_string(w[i + 1:i + 3], ' ') AS gram FROM d x, LATERAL (SELECT unnest(range(0, len(x.w) - 2)) AS i) WHERE len(x.w) >= 3")
 def ngram_windows(spark, sf_dir):
     """Windows of three words over all words of a page."""
     rows = documents(spark, sf_dir).select("doc_id", t.words(F.col("text")).alias("w")).where(F.size("w") >= 3)
-    grams = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
-    return rows.select("doc_id", F.posexplode(grams).alias("start", "gram"))
+    return rows.select("doc_id", F.posexplode(t.ngrams(F.col("w"), 3)).alias("start", "gram"))
 
 
 @query("SELECT conv_id AS doc_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
@@ -495,17 +514,16 @@ def anchor_correct(spark, sf_dir):
 
 @query()
 def fuzzy_match(spark, sf_dir):
-    """The first eight words of each page's text, run together, against all its windows."""
+    """Eight words of each page's text, run together and without some letters, against all its windows."""
     flat = html_docs(spark, sf_dir).select("doc_id", t.html_for_matching(F.col("html")).alias("text"))
-    s = flat.select("doc_id", F.array_join(F.slice(t.words(F.col("text")), 5, 8), "").alias("snippet")).where("snippet <> ''")
+    s = flat.select("doc_id", F.translate(F.array_join(F.slice(t.words(F.col("text")), 5, 8), ""), "aei", "").alias("snippet")).where("snippet <> ''")
     return repair.fuzzy_match(s, flat).select("doc_id", "snippet", "match.*")
 
 
-@query(f"""WITH {oracles.segmented('r', SMALL).replace('RECURSIVE ', f"RECURSIVE {DOCS}, r AS (SELECT doc_id, nfc_normalize(array_to_string(w[-6:], '')) AS t FROM d), ", 1)}
-SELECT doc_id, array_to_string(seg[-15:], ' ') AS text, CASE WHEN len(seg) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(seg, lambda x: lower(x) IN ({oracles.listed({*SMALL, *(x.lower() for x in SMALL)})}))) / len(seg)::DOUBLE END AS confidence FROM best""")
+@query(f"{sql_segments('w[-6:]')} SELECT doc_id, array_to_string(seg[-15:], ' ') AS text, {SEGMENT_SHARE} AS confidence FROM best")
 def segment_words(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", t.last_words(t.words(F.col("text")), 6).alias("s"))
-    return rows.select("doc_id", repair.segment_words(F.col("s"), SMALL).alias("r")).select("doc_id", "r.*")
+    return rows.select("doc_id", repair.segment_words(F.col("s"), SMALL).alias("r")).select("doc_id", "r.text", "r.confidence")
 
 
 WITH_HTML = f"""WITH h AS (SELECT page_id AS doc_id, {FLAT['matcher']} AS flat, {FLAT['completion']} AS html FROM pages), x AS (SELECT doc_id, html, {sql_dehyphenate(sql_excluded('flat'))} AS text FROM h),

@@ -75,9 +75,16 @@ class PdfReader(DataSourceReader):
                 page = book[i] if self.backend == "pymupdf" else book.pages[i]
                 yield from getattr(self, f"_{self.backend}")((p.doc, p.file, i + 1), page)
 
+    def _text(self, get) -> tuple[str, str | None]:
+        """Text and note: one damaged page gives a row of its own and the scan goes on."""
+        try:
+            return get() or "", None
+        except Exception as e:
+            return "", f"Extraction failed: {e}"
+
     def _pymupdf(self, head: tuple, page) -> Iterator[tuple]:
         if self.table == "text":
-            yield (*head, page.get_text(), None)
+            yield (*head, *self._text(page.get_text))
             return
         spans = [s for b in page.get_text("dict")["blocks"] for line in b.get("lines", ()) for s in line["spans"]]
         for k, s in enumerate(spans):
@@ -87,11 +94,7 @@ class PdfReader(DataSourceReader):
 
     def _pdfplumber(self, head: tuple, page) -> Iterator[tuple]:
         if self.table == "text":
-            try:
-                row = (page.extract_text() or "", None)
-            except Exception as e:  # one damaged page gives a row of its own and the scan goes on
-                row = ("", f"Extraction failed: {e}")
-            yield (*head, *row)
+            yield (*head, *self._text(page.extract_text))
             return
         if self.table == "spans":
             raise MissingDependencyError("spans with font sizes need pymupdf")

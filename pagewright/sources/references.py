@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewright.errors import PageError, SourceNotFoundError
+from pagewright.sources.texts import numbered
 
 DDL = "page STRING, snippet STRING, context_before STRING, context_after STRING, note STRING, confidence DOUBLE, method STRING"
 FIELDS = [x.split()[0] for x in DDL.split(", ")]
@@ -16,8 +17,7 @@ FIELDS = [x.split()[0] for x in DDL.split(", ")]
 def read_references(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, ord, page, ...): doc_id is a number for each file by name, ord the place in its array."""
     rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.from_json("value", f"ARRAY<STRUCT<{DDL}>>", {"mode": "FAILFAST"})).alias("ord", "r"))
-    files = rows.select("file").distinct().select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("doc_id"))
-    return rows.join(F.broadcast(files) if files.count() < 100_000 else files, "file").select("doc_id", "ord", *(F.col(f"r.{f}").alias(f) for f in FIELDS))
+    return rows.join(numbered(rows.select("file")), "file").select("doc_id", "ord", *(F.col(f"r.{f}").alias(f) for f in FIELDS))
 
 
 def record(row: dict) -> dict:

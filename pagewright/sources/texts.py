@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def read_html(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, file, html): one row a file, numbered by name."""
+    """(doc_id, file, html): one row a file, numbered by name. Only the names come together to be numbered."""
     rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("html"))
-    return rows.withColumn("doc_id", (F.row_number().over(Window.orderBy("file")) - 1).cast("long")).select("doc_id", "file", "html")
+    return rows.join(numbered(rows.select("file")), "file").select("doc_id", "file", "html")
+
+
+def numbered(files: DataFrame) -> DataFrame:
+    """(file, doc_id): a number from 0 on for each name, in order."""
+    return files.distinct().select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("doc_id"))
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:

@@ -159,7 +159,7 @@ def test_segmentation(spark):
 def test_extract(spark):
     pages = spark.createDataFrame([(1, 1, "One two three four five six seven. Eight nine ten eleven twelve"), (1, 2, "two words"), (2, 1, None)], "doc_id long, page int, text string")
     out = {(r["doc_id"], r["page"]): r for r in ex.extract(pages).collect()}
-    assert out[1, 1]["snippet"] == "three four five six seven. Eight nine ten eleven twelve" or out[1, 1]["snippet"].endswith("seven.")
+    assert out[1, 1]["snippet"] == "three four five six seven."
     assert out[1, 2]["note"] == "Insufficient text (found 2 words)" and out[1, 2]["snippet"] == "PASTE_TEXT_FROM_END_OF_PAGE_HERE"
     stats = ex.stats(ex.extract(pages)).first().asDict()
     assert (stats["total_pages"], stats["successful"], stats["insufficient_text"]) == (3, 1, 2)
@@ -169,6 +169,15 @@ def test_extract(spark):
     assert ex.extract(pages, ex.Options(), html).where("doc_id = 1 AND page = 1").first()["status"] == "successful"
     fuzzy = ex.extract(pages, ex.Options(fuzzy=True), html).where("page = 1 AND doc_id = 1").first()
     assert fuzzy["method"] == "html_match" and fuzzy["confidence"] > 0.6
+    damaged = pages.withColumn("note", F.when(F.col("page") == 2, "Extraction failed: broken"))
+    bad = ex.extract(damaged).where("page = 2").first()
+    assert (bad["snippet"], bad["note"], bad["status"], bad["context_status"]) == ("PASTE_TEXT_FROM_END_OF_PAGE_HERE", "Extraction failed: broken", "failed", None)
+    assert ex.stats(ex.extract(damaged)).first()["failed"] == 1
+    second = {(r["doc_id"], r["page"]): r for r in ex.extract(pages.unionByName(spark.createDataFrame([(3, 1, "a b / c d")], pages.schema)), ex.Options(second_backend=True)).collect()}
+    assert second[1, 2]["note"] == "Insufficient text (found 2 words, need 3)" and second[3, 1]["snippet"] == "a b/c d"
+    assert all(r["context_before"] is None and r["context_status"] is None for r in second.values())
+    fuzzy = ex.extract(pages, ex.Options(fuzzy=True, default_backend=True), html).where("page = 1 AND doc_id = 1").first()
+    assert fuzzy["method"] is None
     assert [r["page"] for r in ex.page_range(pages, 2, None, 5).select("page").collect()] == [7]
 
 
@@ -178,6 +187,66 @@ def test_options(bad):
         ex.Options(**bad)
 
 
+def test_confidence_is_rounded_as_python_does(spark):
+    """0.625 to 0.62, and every share of words up to 60."""
+    known = ["ab"]
+    for n in (8, 40, 57):
+        rows = [("ab" * a + "x" * (n - a),) for a in range(n + 1)]
+        out = spark.createDataFrame(rows, "s string").select("s", rep.segment_words(F.col("s"), known, 1000).alias("r")).collect()
+        assert all(r["r"]["rounded"] == round(r["r"]["confidence"], 2) for r in out)
+    five = spark.createDataFrame([("ababababab" + "xyzuv",)], "s string").select(rep.segment_words(F.col("s"), known).alias("r")).first()["r"]
+    assert (five["confidence"], five["rounded"]) == (0.625, 0.62)
+
+
+class StubPage:
+    def __init__(self, text):
+        self.text = text
+
+    def get_text(self):
+        if self.text is None:
+            raise ValueError("broken page")
+        return self.text
+
+    extract_text = get_text
+
+
+class StubBook(list):
+    pages = property(lambda self: self)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+
+@pytest.mark.parametrize(("backend", "module", "call"), [("pymupdf", "fitz", "open"), ("pdfplumber", "pdfplumber", "open")])
+def test_pdf_reader_with_a_stub_library(monkeypatch, tmp_path, backend, module, call):
+    """A damaged page is a row with a note; the others follow. Ranges of pages are partitions."""
+    import importlib.util
+    import sys
+    import types
+
+    stub = types.ModuleType(module)
+    setattr(stub, call, lambda file: StubBook([StubPage("one two three"), StubPage(None), StubPage("")]))
+    monkeypatch.setitem(sys.modules, module, stub)
+    found = importlib.util.find_spec
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: name == module or None if name in pdf.MODULES.values() else found(name, *a))
+    (tmp_path / "a.pdf").write_text("")
+    assert pdf.choose_backend() == pdf.choose_backend(backend) == backend
+    reader = pdf.PdfReader({"path": str(tmp_path), "backend": backend, "pages_per_task": 2})
+    parts = reader.partitions()
+    assert [(p.first, p.end) for p in parts] == [(0, 2), (2, 3)]
+    file = str(tmp_path / "a.pdf")
+    assert [x for p in parts for x in reader.read(p)] == [(0, file, 1, "one two three", None), (0, file, 2, "", "Extraction failed: broken page"), (0, file, 3, "", None)]
+
+
+def test_read_html_numbers_files(spark, tmp_path):
+    for n in "cab":
+        (tmp_path / f"{n}.html").write_text(f"<p>{n}</p>")
+    assert [(r["doc_id"], r["html"]) for r in texts.read_html(spark, str(tmp_path)).orderBy("doc_id").collect()] == [(0, "<p>a</p>"), (1, "<p>b</p>"), (2, "<p>c</p>")]
+
+
 def test_validate(spark):
     rows = [(1, 0, "1", "a b", "x", "y"), (1, 1, "2", "a b", "x", ""), (1, 2, "3", "PASTE_TEXT_FROM_END_OF_PAGE_HERE", None, None), (1, 3, "4", "not there", None, "z"), (1, 4, "5", None, None, None)]
     r = spark.createDataFrame(rows, REFS)
