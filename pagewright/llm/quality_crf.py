@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from pagewright.llm.arrays import Texts, steps, sums
 from pagewright.llm.quality_rules import SYMBOLS, later_equals, worded_lines
-from pagewright.llm.tables import mapped
+from pagewright.llm.tables import give_back, mapped
 
 OWN = ("words", "symbols", "marks", "upper", "digits", "repeats", "word_length", "dup", "stop")
 #: One constant, the line's own numbers, those of its neighbours, and whether it has neighbours.
@@ -186,7 +186,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 3000, text: str = "tex
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, N_FEATURES).astype(float)
     size = np.frombuffer(b"".join(got["size"]), np.int64)
     n = np.array([len(s) // 8 for s in got["size"]])
-    return fit(x, np.cumsum(n) - n, n, size, got["quality"].to_numpy().astype(float))
+    model = fit(x, np.cumsum(n) - n, n, size, got["quality"].to_numpy().astype(float))
+    del got, x, size
+    give_back()
+    return model
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text", keep: tuple[str, ...] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

@@ -255,6 +255,38 @@ def test_near_duplicates(spark, docs, empty):
     assert near_dedup.near_dedup(spark.createDataFrame([(None, "x")], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="the tables are not here")
+def test_near_duplicates_of_a_whole_table(spark):
+    """The query's classes are those of all pairs of 0.8 and more, found by brute force over shared shingles."""
+    from pagewright.llm import queries
+
+    at = "/root/testdata/sf0.01"
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
+    bags, holders = {k: bag(s) for k, s in rows.items()}, collections.defaultdict(list)
+    for k, b in bags.items():
+        for g in b:
+            holders[g].append(k)
+    both = collections.Counter()
+    for g, ks in holders.items():
+        for i, a in enumerate(ks):
+            for b in ks[i + 1 :]:
+                both[a, b] += min(bags[a][g], bags[b][g])
+    total = {k: sum(b.values()) for k, b in bags.items()}
+    root = {k: k for k in rows}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    links = [p for p, n in both.items() if n >= 0.8 * (total[p[0]] + total[p[1]] - n)]
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    assert len(links) > 50
+    assert {r["doc_id"]: r["class_id"] for r in queries.op3_near_dedup(spark, at).collect()} == {k: find(k) for k in rows}
+
+
 def test_signature_estimates_weighted_jaccard():
     import pyarrow as pa
 
