@@ -164,6 +164,19 @@ def steps(column: pa.Array, step: int = STEP, most: int = 4096) -> Iterator[Text
         i = j
 
 
+def joined(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of a column or more, as far as there are so many."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(buffers(b.column(column))[0])
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sum of values[at[i]:at[i + 1]] for each i; empty ranges give 0."""
     total = np.zeros(len(values) + 1, np.int64 if values.dtype != np.float64 else np.float64)

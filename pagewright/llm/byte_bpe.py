@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from pagewright.llm.arrays import steps
+from pagewright.llm.arrays import joined, steps
 from pagewright.llm.pretokens import cuts, distinct, strings
 from pagewright.llm.tables import mapped
 
@@ -62,7 +62,8 @@ WITH RECURSIVE t(word, pos, token, m) AS (
    SELECT k.word, k.pos, k.token, CASE WHEN k.r = {NONE} THEN -1 ELSE coalesce(x.m, {NONE}) END FROM pairs k LEFT JOIN merges x ON x.pair = k.token * {WIDE} + k.next))
 SELECT word, token FROM t WHERE m = -1 ORDER BY word, pos
 """
-DECODE = "SELECT i.doc, string_agg(v.shown, '' ORDER BY i.pos) AS shown FROM ids i JOIN vocabulary v ON v.id = i.id GROUP BY i.doc ORDER BY i.doc"
+#: The aggregation takes its rows in the order of the subquery: one thread, and string_agg keeps the order that it is given.
+DECODE = "SELECT doc, string_agg(shown, '') AS shown FROM (SELECT i.doc, v.shown FROM ids i JOIN vocabulary v ON v.id = i.id ORDER BY i.pos) GROUP BY doc ORDER BY doc"
 
 
 class Coder:
@@ -154,7 +155,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
-        for b in batches:
+        for b in joined(batches, text, STEP):
             for t in steps(b.column(text), STEP):
                 starts = cuts(t)
                 pieces, which = distinct(strings(t, starts))
