@@ -68,8 +68,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): component is the least node; nodes without an edge do not appear. edges: (a, b), no nulls."""
-    now = checkpoint(edges.select("a", "b").where("a <> b"))
+    """(node, component): component is the least node; nodes without an edge do not appear. edges: (a, b), no nulls; read twice, so a written table."""
+    now = edges.select("a", "b").where("a <> b")
     tasks = math.ceil(now.count() / EDGES)
     now = checkpoint(_contracted(now.coalesce(max(1, tasks))))
     while tasks > 1:

@@ -235,7 +235,7 @@ def _pairs_of_blocks(members: DataFrame, known: DataFrame) -> DataFrame:
     blocks = labels.groupBy("bucket", "own").agg(F.ceil(F.sum("m") / BUCKET).alias("k"))
     dealt = labels.join(blocks.select(F.col("bucket").alias("_bucket"), F.col("own").alias("_own"), "k"), (F.col("bucket") == F.col("_bucket")) & F.col("own").eqNullSafe(F.col("_own"))).select("bucket", "label", "own", "k")
     number = lambda i: F.xxhash64("bucket", F.coalesce("own", F.lit(0)), F.col("own").isNull(), i)
-    rows = checkpoint(rows.join(dealt, ["bucket", "label"]).select("bucket", "doc_id", "label", number(F.pmod(F.xxhash64("doc_id", "bucket"), F.col("k"))).alias("block")))
+    rows = rows.join(dealt, ["bucket", "label"]).select("bucket", "doc_id", "label", number(F.pmod(F.xxhash64("doc_id", "bucket"), F.col("k"))).alias("block"))
     every = blocks.select("bucket", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i")).select("bucket", "own", number(F.col("i")).alias("block"))
     x, y = every.select("bucket", F.col("own").alias("own_x"), F.col("block").alias("x")), every.select("bucket", F.col("own").alias("own_y"), F.col("block").alias("y"))
     meet = x.join(y, "bucket").where("x <= y AND (own_x IS NULL OR own_y IS NULL OR own_x <> own_y)")
@@ -279,14 +279,14 @@ def links(table: DataFrame, docs: DataFrame, similarity: float, size: int = 5) -
     """(a, b): verified links between representatives."""
     keyed = table.select("doc_id", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.bit_xor(F.xxhash64("doc_id")).alias("members"), F.sum(F.hash("doc_id").cast("long")).alias("again")).where("n > 1")
-    once = checkpoint(buckets.groupBy("n", "least", "members", "again").agg(F.min("key").alias("key")).select("key", "n"))
+    once = buckets.groupBy("n", "least", "members", "again").agg(F.min("key").alias("key")).select("key", "n")
     sig = table.select("doc_id", "sig")
     every = checkpoint(keyed.join(once, "key").select(F.col("key").alias("bucket"), "doc_id", "n"))
     block = F.pmod(F.xxhash64("doc_id", "bucket"), F.ceil(F.col("n") / BUCKET))
     rows = every.select("bucket", block.alias("x"), block.alias("y"), F.lit(None).cast("int").alias("side"), "doc_id", F.col("doc_id").alias("label"))
     found = checkpoint(_met(rows.join(sig, "doc_id"), similarity))
     right = checkpoint(verified(docs, found.select("a", "b").distinct(), similarity, size))
-    large, failed = once.where(F.col("n") > BUCKET).select(F.col("key").alias("bucket")), found.join(right, ["a", "b"], "left_anti").select("bucket")
+    large, failed = every.where(F.col("n") > BUCKET).select("bucket"), found.join(right, ["a", "b"], "left_anti").select("bucket")
     members = checkpoint(every.join(large.unionByName(failed).distinct(), "bucket").select("bucket", "doc_id"))
     if members.isEmpty():
         return right
