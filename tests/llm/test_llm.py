@@ -522,6 +522,19 @@ def test_warc(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(nothing, str(tmp_path / "none"))).count() == 0
 
 
+def test_warc_of_long_payloads(spark, tmp_path):
+    """Payloads larger than what a task hands on at once, and archives that each of them fills; the largest id keeps a repeated one."""
+    long = "".join(random.Random(6).choices("abc é\n", k=3 << 20))
+    rows = {1: long, 2: long[:-1], 3: long, 4: "x" * 1000, 5: "x" * 999, 6: "x" * 999}
+    pages = spark.createDataFrame([(k, None, x) for k, x in rows.items()], "page_id long, url string, html string")
+    out = {r["page_id"]: r for r in warc.read_archives(warc.write_archives(pages, str(tmp_path / "long"), size=1 << 20)).collect()}
+    assert set(out) == set(rows)
+    for k, x in rows.items():
+        assert (out[k]["payload_bytes"], out[k]["payload_digest"]) == (len(x.encode()), hashlib.sha1(x.encode()).hexdigest())
+        assert (out[k]["record_type"], out[k]["refers_to"]) == (("revisit", 3) if k == 1 else ("response", None))
+        assert out[k]["payload"] is None if k == 1 else bytes(out[k]["payload"]) == x.encode()
+
+
 class Bytes:
     def __init__(self, raw):
         self.raw, self.at = raw, 0
