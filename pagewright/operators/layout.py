@@ -38,8 +38,8 @@ def two_column_body(rows: DataFrame, bottom: str = "y1", footnote_zone: float =
 
 
 def bottom_words(words: DataFrame, n: int = 10) -> DataFrame:
-    """The n lowest words of each page in reading order. words: (doc_id, page, ord, x0, top, text)."""
-    low = words.withColumn("_k", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.col("top").desc(), "ord"))).where(F.col("_k") <= n)
+    """The n lowest words of each page in reading order. words: (doc_id, page, ord, x0, top, text); ord of any type that sorts."""
+    low = words.withColumn("_k", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.col("top").desc(), "ord", "x0", "text"))).where(F.col("_k") <= n)
     return joined(low, F.col("top"), F.col("x0"), F.col("_k"))
 
 

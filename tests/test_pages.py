@@ -323,3 +323,32 @@ def test_entry_without_the_training_operators():
 
     names = set(__spark_entry__.queries())
     assert {"snippet_end", "html_mark"} <= names and set(__spark_entry__.oracle_sql()) <= names
+
+
+def oracle_rows(folder, name):
+    """What the query's SQL gives over the tables of a folder."""
+    import duckdb
+
+    from pagewright.plans import catalog
+
+    con = duckdb.connect()
+    for p in folder.iterdir():
+        con.execute(f"CREATE VIEW {p.name.split('.')[0]} AS SELECT * FROM read_parquet('{p}/*.parquet')")
+    return con.execute(catalog.oracle_sql()[name]).fetchall()
+
+
+def test_bottom_words_ties_follow_the_input(spark, tmp_path):
+    """Twelve lines of one order and number: those of the first file count as the first, though the second is larger and read before it."""
+    from pyspark.sql import functions as F
+
+    from pagewright.plans import catalog
+
+    flag = "concat(file, char(CAST(109 - id AS INT)))"
+    for file, n in (("a", 12), ("b", 5000)):
+        rows = spark.range(n).select(F.lit(80).cast("long").alias("l_orderkey"), F.lit(0).cast("long").alias("l_partkey"), F.when(F.col("id") < 12, 1).otherwise(2).cast("long").alias("l_suppkey"), F.lit(1).alias("l_linenumber"), F.lit(3.0).alias("l_quantity"), F.lit(0.05).alias("l_tax"), F.lit(file).alias("file"), "id")
+        rows.withColumn("l_returnflag", F.when(F.col("id") < 12, F.expr(flag)).otherwise(F.lit("z"))).drop("file", "id").coalesce(1).write.parquet(str(tmp_path / file))
+        (tmp_path / "in/lineitem.parquet").mkdir(parents=True, exist_ok=True)
+        next((tmp_path / file).glob("*.parquet")).rename(tmp_path / f"in/lineitem.parquet/part-{file}.parquet")
+    got = {tuple(r) for r in catalog.bottom_words(spark, str(tmp_path / "in")).collect()}
+    assert (1, 0, " ".join(f"a{chr(109 - i)}1" for i in range(10))) in got
+    assert got == set(oracle_rows(tmp_path / "in", "bottom_words"))
