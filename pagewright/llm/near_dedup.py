@@ -222,13 +222,21 @@ def _with_elements(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return found.transform(mapped, run, "doc_id long, elements binary").dropDuplicates(["doc_id"])
 
 
-def _pairs_of_blocks(members: DataFrame, known: DataFrame) -> DataFrame:
-    """members (bucket, doc_id, weight) and known (node, component) to rows of _met() in which every two members of a bucket that are not connected meet.
+def _labelled(members: DataFrame, weights: DataFrame, known: DataFrame) -> DataFrame:
+    """members (bucket, doc_id), weights (doc_id, weight) and known (node, component) to (bucket, doc_id, weight, label).
+
+    The label is looked up once for each document, not for each of its buckets. Written, since _pairs_of_blocks() reads it several times.
+    """
+    each = weights.join(known, F.col("doc_id") == F.col("node"), "left").select("doc_id", "weight", F.coalesce("component", "doc_id").alias("label"))
+    return checkpoint(members.join(each, "doc_id").select("bucket", "doc_id", "weight", "label"))
+
+
+def _pairs_of_blocks(rows: DataFrame) -> DataFrame:
+    """rows (bucket, doc_id, weight, label) to rows of _met() in which every two members of a bucket that are not connected meet.
 
     Members are dealt to blocks of a weight of about BUCKET, and each block meets itself and each other one. A component
     above that in the bucket has blocks of its own, which do not meet each other.
     """
-    rows = members.join(known, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "weight", F.coalesce("component", "doc_id").alias("label"))
     labels = rows.groupBy("bucket", "label").agg(F.sum("weight").alias("m"))
     apart = labels.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     labels = labels.join(apart, "bucket").select("bucket", "label", "m", F.when(F.col("m") > BUCKET, F.col("label")).alias("own"))
@@ -292,8 +300,8 @@ def links(table: DataFrame, docs: DataFrame, similarity: float, size: int = 5) -
         return right
     wanted = members.select("doc_id").distinct().join(table.select("same", "doc_id"), "doc_id")
     elements = checkpoint(_with_elements(docs, wanted, size).join(sig, "doc_id"))
-    weighed = members.join(elements.select("doc_id", (1 + F.octet_length("elements") / HEAVY).alias("weight")), "doc_id")
-    rest = _met(_pairs_of_blocks(weighed, components(right)).join(elements, "doc_id"), similarity, exactly=True)
+    rows = _labelled(members, elements.select("doc_id", (1 + F.octet_length("elements") / HEAVY).alias("weight")), components(right))
+    rest = _met(_pairs_of_blocks(rows).join(elements, "doc_id"), similarity, exactly=True)
     return checkpoint(right.unionByName(rest.select("a", "b").distinct()))
 
 

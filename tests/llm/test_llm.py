@@ -306,6 +306,18 @@ def test_large_buckets(spark, monkeypatch):
     assert {r["class_id"] for r in out} == {0} and len(out) == 40
 
 
+def test_labels_of_large_buckets_are_looked_up_once(spark, monkeypatch):
+    """The full search reads its members several times, so they are written: a join in their plan would run as often."""
+    monkeypatch.setattr(near_dedup, "BUCKET", 4)
+    plans, met = [], near_dedup._met
+    monkeypatch.setattr(near_dedup, "_met", lambda rows, *a, **b: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or met(rows, *a, **b))
+    w = words(text(200, 11))
+    rows = [(i, " ".join([*w[:100], f"own{i}", *w[100:]])) for i in range(20)]
+    out = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(plans) == 2 and "LeftOuter" not in plans[1]
+    assert {r["class_id"] for r in out} == {0} and len(out) == 20
+
+
 def test_large_bucket_of_unconnected_members(spark, monkeypatch):
     """Pairs that share one bucket only, among members that nothing connects."""
     monkeypatch.setattr(near_dedup, "BUCKET", 8)
